@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtrace.llm import neardup, vectors
-from loomtrace.session import table
+from loomtrace.llm import mix, neardup, pack, split, tokens, vectors
+from loomtrace.session import materialize, table
 
 
 def _nearest(spark, d):
@@ -48,6 +48,47 @@ def p4_groups(spark, d):
     )
 
 
+def _limits(spark, d, purpose):
+    return table(spark, d, "size_limits").where(F.col("purpose") == purpose)
+
+
+def _packed(spark, d):
+    # Sized once and written: the packing reads the sizes for the histogram and again for the assignment.
+    sizes = materialize(tokens.with_token_counts(table(spark, d, "documents"), ["doc_id"]), "sizes")
+    return pack.pack(sizes, _limits(spark, d, "pack"))
+
+
+def p7_assignment(spark, d):
+    return _packed(spark, d)
+
+
+def p7_fill(spark, d):
+    return pack.fill(_packed(spark, d), _limits(spark, d, "pack"))
+
+
+def _sized(spark, d):
+    return materialize(tokens.with_token_counts(table(spark, d, "documents"), ["doc_id", "source"]), "sizes")
+
+
+def p8_mixture(spark, d):
+    docs = table(spark, d, "documents")
+    mixed = mix.mixture(_sized(spark, d), table(spark, d, "mix_targets"))
+    return mixed.join(docs.select("doc_id", "text"), "doc_id")
+
+
+def p8_report(spark, d):
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mix.report(sized, mix.mixture(sized, targets), targets)
+
+
+def p9_pieces(spark, d):
+    return split.split(table(spark, d, "documents"), _limits(spark, d, "split"))
+
+
+def p9_summary(spark, d):
+    return split.summary(p9_pieces(spark, d))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("p") and k[1:2].isdigit()}
 
 _WORDS = """
