@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtrace.llm import mix, neardup, pack, split, tokens, vectors
+from loomtrace.llm import mix, neardup, pack, residue, split, tokens, vectors
 from loomtrace.session import materialize, table
 
 
@@ -21,6 +21,14 @@ def p2_neighbours(spark, d):
     return _nearest(spark, d)
 
 
+def p3_found(spark, d):
+    return residue.residue_fields(table(spark, d, "test_cases"))
+
+
+def p3_clean(spark, d):
+    return residue.clean_tests(table(spark, d, "test_cases"))
+
+
 SIMILARITY = 0.6
 
 
