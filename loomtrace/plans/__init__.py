@@ -1,8 +1,8 @@
 """The query catalogue: every query with its SQL statement where SQL can say it."""
 
-from loomtrace.plans import problems
+from loomtrace.plans import graph, problems
 
-_MODULES = [problems]
+_MODULES = [problems, graph]
 
 
 def all_queries() -> dict:
