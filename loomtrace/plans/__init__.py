@@ -1,8 +1,8 @@
 """The query catalogue: every query with its SQL statement where SQL can say it."""
 
-from loomtrace.plans import graph, problems
+from loomtrace.plans import graph, problems, units
 
-_MODULES = [problems, graph]
+_MODULES = [problems, graph, units]
 
 
 def all_queries() -> dict:

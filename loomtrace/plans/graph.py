@@ -113,7 +113,7 @@ def a22_integrity_summary(spark, d):
     return G.integrity_summary(G.integrity(_n(spark, d), table(spark, d, "edges")))
 
 
-def n5_cru_nodes(spark, d):
+def proj5_cru_nodes(spark, d):
     crus = table(spark, d, "crus")
     one = G.insert_first(crus, ["cru_id"], [F.col("loaded_at"), F.coalesce("parent_requirement_id", F.lit(""))])
     return G.cru_nodes(one).select("node_id", "title", "text", "module", "doc_id", "doc_type", "section_path")
@@ -199,7 +199,7 @@ def a17_fallback_gate(spark, d):
     return G.fallback_gate(_arrivals(spark, d))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] in "wasijngfou" and not k.startswith("_") and any(c.isdigit() for c in k[:4])}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and k[0].islower() and any(c.isdigit() for c in k[:5])}
 
 N = """n as (select * exclude r from (select *, row_number() over (partition by node_id order by created_at desc, coalesce(title, '') desc, coalesce(text, '') desc, coalesce(module, '') desc, coalesce(version, '') desc) r from nodes) where r = 1)"""
 E = """e as (select * exclude r from (select *, row_number() over (partition by src_id, rel_type, dst_id order by created_at, confidence, coalesce(evidence_chunk_id, ''), coalesce(extra_json, '')) r
@@ -257,7 +257,7 @@ ORACLE = {
     "i8_strict_range": f"select 'CONFIDENCE_RANGE' code, 'error' severity, {REF} ref from edges where confidence < 0.4 or confidence > 1",
     "u7_integrity": f"with {N}, x as ({ALL_ISSUES}) select code, severity, count(*) n from x group by 1, 2",
     "a22_integrity_summary": f"with {N}, x as ({ALL_ISSUES}) select count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings, count(*) filter (severity = 'error') = 0 passed from x",
-    "n5_cru_nodes": f"""with o as (select *, row_number() over (partition by cru_id order by loaded_at, coalesce(parent_requirement_id, '')) r, {CLAUSE.format(a='actor', t='action_text', k='constraint_text')} cl from crus where cru_id is not null)
+    "proj5_cru_nodes": f"""with o as (select *, row_number() over (partition by cru_id order by loaded_at, coalesce(parent_requirement_id, '')) r, {CLAUSE.format(a='actor', t='action_text', k='constraint_text')} cl from crus where cru_id is not null)
       select cru_id node_id, title, case when cl <> '' then cl else description end text, traceability.module module, traceability.doc_id doc_id, coalesce(traceability.doc_type, 'SRS') doc_type, traceability.section_path section_path from o where r = 1""",
     "g13_chunk_nodes": f"with {PARTS} select distinct chunk_id, cru_id, parent_id, child_id from parts",
     "g13_supported_by": f"""with {PARTS}, w as (select cru_id, arg_min(struct_pack(c := confidence), loaded_at).c c from crus where cru_id is not null group by 1)
