@@ -32,14 +32,15 @@ from loomtrace.session import materialize
 
 DIM = 384
 K = 5
-PROBES = 4  # buckets a vector takes part in: its own and the three likeliest others
+PROBES = 3  # buckets a vector takes part in: its own and the two likeliest others
 WIDTH = 2.0
 TEMPERATURE = 0.05
 MAX_ANCHORS = 1024
 PER_ANCHOR = 16
-TARGET = 256  # mean vectors per bucket
-BLOCK = 4096
-KEEP = K + 3  # kept per vector and bucket, so that ties can be broken by name later
+TARGET = 512  # mean vectors per bucket
+BLOCK = 4096  # vectors stored together, at least
+LARGE = 1 << 16  # buckets that may be larger
+KEEP = K + 2  # kept per vector and bucket, so that ties can be broken by name later
 
 
 def normalise(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +73,8 @@ def unpack(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(v.as_py() for a in arrays for v in a), dtype="<i2").reshape(-1, dim)
 
 
-def usable_vectors(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim: int = DIM) -> DataFrame:
-    """(node_id, q): the usable vectors among the latest rows of each node. Encoded first, so half the bytes move."""
+def encoded(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim: int = DIM) -> DataFrame:
+    """(node_id, at, q): every row with its vector in 16 bits, null where it is not usable. Narrow."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,12 +86,14 @@ def usable_vectors(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim:
     rows = df.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("node_id"), F.col(at_col).cast("timestamp_ntz").alias("at"), F.col(bytes_col).alias("b")
     )
-    latest = (
-        rows.mapInArrow(encode, "node_id string, at timestamp_ntz, q binary")
-        .groupBy("node_id")
-        .agg(F.max(F.struct("at", F.col("q").isNotNull().alias("ok"), "q")).alias("m"))
-    )
-    return latest.where("m.ok").select("node_id", F.col("m.q").alias("q"))
+    return rows.mapInArrow(encode, "node_id string, at timestamp_ntz, q binary")
+
+
+def latest_classes(rows: DataFrame) -> DataFrame:
+    """(node_id, cid) of the nodes whose latest row holds a usable vector. The vectors themselves do not move."""
+    cid = F.xxhash64("q")
+    latest = rows.select("node_id", F.struct("at", F.col("q").isNotNull().alias("ok"), cid.alias("cid")).alias("m"))
+    return latest.groupBy("node_id").agg(F.max("m").alias("m")).where("m.ok").select("node_id", F.col("m.cid").alias("cid"))
 
 
 def fit_anchors(sample: np.ndarray, n_anchors: int, rounds: int = 4) -> np.ndarray:
@@ -146,43 +149,59 @@ def top_rows(s: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
 
 
-def nearest_classes(classes: DataFrame, dim: int, probes: int = PROBES) -> DataFrame:
-    """(a, b, cos): for every class (cid, q) at least its KEEP nearest classes among those met, both directions."""
-    spark = classes.sparkSession
-    n = classes.count()
-    sample_size = min(n, MAX_ANCHORS * PER_ANCHOR)
-    # A hash threshold: the sample is spread over all rows and its size on the driver is bounded.
-    part = F.pmod(F.xxhash64("q"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_size / max(n, 1)))
-    rows = classes.where(part).select("q").limit(sample_size).toArrow()
-    if rows.num_rows == 0:
-        rows = classes.select("q").limit(1).toArrow()
-    sample = unit(unpack(rows.column(0), dim)) if rows.num_rows else np.zeros((0, dim), dtype=np.float32)
+def fit(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim: int) -> tuple[StableHash, int]:
+    """(hash, number of rows): the hash's number of projections follows their number, its anchors a bounded sample."""
+    n = df.count()
+    size = MAX_ANCHORS * PER_ANCHOR
+    # A hash threshold spreads the sample over all rows and bounds what comes to the driver.
+    share = int(1_000_000 * min(1.0, size / max(n, 1)))
+    some = df.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share)
+    rows = encoded(some, id_col, bytes_col, at_col, dim).where("q is not null").select("q").toArrow()
+    sample = unit(unpack(rows.column(0), dim))[:size]
     k = max(0, round(np.log2(max(n, 1) / TARGET))) if len(sample) else 0
     n_anchors = max(1, min(MAX_ANCHORS, len(sample) // PER_ANCHOR))
-    hashing = StableHash(fit_anchors(sample, n_anchors) if k else np.zeros((1, dim), dtype=np.float32), k)
-    shared = spark.sparkContext.broadcast(hashing)
+    return StableHash(fit_anchors(sample, n_anchors) if k else np.zeros((1, dim), dtype=np.float32), k), n
+
+
+def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n: int, dim: int, probes: int = PROBES) -> DataFrame:
+    """(a, b, cos): for every class (cid, q), the distinct ones of the ``n`` ``rows``, at least its KEEP nearest among those met, both directions."""
+    sc = classes.sparkSession.sparkContext
+    shared = sc.broadcast(hashing)
+    # A large bucket has more than this; so there are at most LARGE of them.
+    block = max(BLOCK, -(-n // LARGE))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = shared.value.probes(unit(unpack(b.column(1), dim)), 1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes[:, 0])], ["cid", "code"])
+
+    # Distinct classes per bucket are estimated on the rows as read, by sketches: no vector moves for it.
+    counted = rows.select("cid", "q").mapInArrow(home, "cid long, code long").groupBy("code").agg(F.approx_count_distinct("cid").alias("n"))
+    large = {r["code"]: -(-r["n"] // block) for r in counted.where(F.col("n") > block).collect()}
+    split = sc.broadcast((np.array(sorted(large), dtype=np.int64), np.array([large[c] for c in sorted(large)], dtype=np.int32)))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, blocks = split.value
         for b in batches:
             if b.num_rows:
                 codes = shared.value.probes(unit(unpack(b.column(1), dim)), probes)
-                offsets = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))], ["cid", "q", "codes"]
-                )
-
-    hashed = materialize(classes.select("cid", "q").mapInArrow(buckets, "cid long, q binary, codes array<long>"), "hashed")
-    # Buckets above the block size: how many blocks. As many rows as large buckets, joined by the optimizer's choice.
-    large = (
-        hashed.groupBy(F.col("codes")[0].alias("code")).count().where(F.col("count") > BLOCK)
-        .select("code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+                n_blocks = np.ones(codes.shape, dtype=np.int32)
+                if len(code):
+                    at = np.searchsorted(code, codes).clip(0, len(code) - 1)
+                    n_blocks = np.where(code[at] == codes, blocks[at], 1).astype(np.int32)
+                offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (codes, n_blocks)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["cid", "q", "codes", "blocks"])
+
+    hashed = classes.select("cid", "q").mapInArrow(buckets, "cid long, q binary, codes array<long>, blocks array<int>")
+    at = hashed.select("cid", "q", F.posexplode(F.arrays_zip("codes", "blocks")).alias("probe", "z")).select(
+        "cid", "q", "probe", F.col("z.codes").alias("code"), F.col("z.blocks").alias("blocks")
     )
-    at = hashed.select("cid", "q", F.posexplode("codes").alias("probe", "code")).join(large, "code", "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("cid"), blocks)
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     # In its own bucket a vector is stored in one block and visits the others; elsewhere it visits all.
     at = at.select(
-        "cid", "q", "code", "probe", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("block")
+        "cid", "q", "code", "probe", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     )
     at = at.select(
         F.xxhash64("code", "block").alias("task"), "cid", "q", ((F.col("probe") == 0) & (F.col("block") == F.col("own"))).alias("stored")
@@ -223,22 +242,20 @@ def nearest_classes(classes: DataFrame, dim: int, probes: int = PROBES) -> DataF
 
 def nearest(df: DataFrame, id_col: str, bytes_col: str, at_col: str, k: int = K, dim: int = DIM, probes: int = PROBES) -> DataFrame:
     """(node_id, neighbour, cos, rank): the k most similar other nodes of each node."""
-    usable = usable_vectors(df, id_col, bytes_col, at_col, dim)
-    # Equal vectors are one class; of its members only the k + 1 smallest names can be anybody's neighbours.
-    rows = materialize(usable.withColumn("cid", F.xxhash64("q")), "vectors")
-    classes = rows.groupBy("cid").agg(F.first("q").alias("q"))
-    by_name = Window.partitionBy("cid").orderBy("node_id")
-    first = rows.select("cid", "node_id").withColumn("r", F.row_number().over(by_name)).where(F.col("r") <= k + 1)
-    names = materialize(first.groupBy("cid").agg(F.array_sort(F.collect_list("node_id")).alias("names")), "names")
-    met = nearest_classes(classes, dim, probes).distinct()
-    best = (
-        met.groupBy("a", "b").agg(F.max("cos").alias("cos"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b")))
-        .where(F.col("r") <= KEEP)
-    )
-    others = best.join(names.withColumnRenamed("cid", "b"), "b").select(
-        F.col("a").alias("cid"), F.explode("names").alias("neighbour"), F.round(F.col("cos").cast("double"), 6).alias("cos")
-    )
+    hashing, n = fit(df, id_col, bytes_col, at_col, dim)
+    rows = encoded(df, id_col, bytes_col, at_col, dim)
+    members = materialize(latest_classes(rows), "members")
+    # Equal vectors are one class; the vectors are shuffled once, to their class, and kept if it is anybody's latest.
+    vectors = rows.where("q is not null").select(F.xxhash64("q").alias("cid"), "q")
+    classes = vectors.groupBy("cid").agg(F.first("q").alias("q"))
+    classes = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+    # Of a class only the k + 1 smallest names can be anybody's neighbours.
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("node_id"))).where(F.col("r") <= k + 1)
+    names = first.groupBy("cid").agg(F.array_sort(F.collect_list("node_id")).alias("names"))
+    # One exchange, by a, serves the distinct pairs and the ranking; ties at the last place are kept for the names.
+    met = nearest_classes(classes, vectors, hashing, n, dim, probes).repartition("a").groupBy("a", "b").agg(F.round(F.max("cos").cast("double"), 6).alias("cos"))
+    best = met.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cos")))).where(F.col("r") <= k)
+    others = best.join(names.withColumnRenamed("cid", "b"), "b").select(F.col("a").alias("cid"), F.explode("names").alias("neighbour"), "cos")
     own = names.select("cid", F.explode("names").alias("neighbour"), F.lit(1.0).alias("cos"))
     # Per class, then per member: one list of at most k + 1 candidates, which a member takes without itself.
     ranked = (
@@ -248,7 +265,7 @@ def nearest(df: DataFrame, id_col: str, bytes_col: str, at_col: str, k: int = K,
         .groupBy("cid")
         .agg(F.array_sort(F.collect_list(F.struct("r", "neighbour", "cos"))).alias("list"))
     )
-    found = rows.select("node_id", "cid").join(ranked, "cid")
+    found = members.join(ranked, "cid")
     mine = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("node_id")), 1, k)
     return found.select("node_id", F.posexplode(mine).alias("p", "x")).select(
         "node_id", F.col("x.neighbour").alias("neighbour"), F.col("x.cos").alias("cos"), (F.col("p") + 1).alias("rank")
