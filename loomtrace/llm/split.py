@@ -57,7 +57,7 @@ class Units(dict):
         if len(self) > 1 << 20:
             self.clear()
         lead = unit[: len(unit) - len(unit.lstrip())]
-        before = BLANK if _BLANK_LINE.search(lead) else LINE if "\n" in lead or "\r" in lead else WORD
+        before = NONE if lead == unit else BLANK if _BLANK_LINE.search(lead) else LINE if "\n" in lead or "\r" in lead else WORD
         out: list[tuple[int, int, int, int]] = []
         for i, part in enumerate(_CJK_CUT.split(unit)):
             ends = int(bool(_SENTENCE_END.search(part)))

@@ -36,13 +36,11 @@ def encoding(path: str = VOCABULARY):
 
 
 def units_of(text: str) -> list[str]:
-    """The units of a text; white space at its end belongs to the last one."""
+    """The units of a text; white space at its end is one of its own."""
     units = UNIT.findall(text)
-    if not units:
-        return [text] if text else []
     rest = len(text) - sum(map(len, units))
     if rest:
-        units[-1] += text[len(text) - rest :]
+        units.append(text[len(text) - rest :])
     return units
 
 
