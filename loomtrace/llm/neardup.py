@@ -32,7 +32,8 @@ from loomtrace.session import key_bucket, materialize
 WORDS = 4  # 64-bit words of a bitmap
 BUCKETS = 1 << 18
 CAP = 4096
-LEAF = 1 << 20  # pairs compared at once below a node pair
+LEAF = 1 << 20  # pairs below which a node pair is not split further
+CACHED = 1 << 16  # pairs compared at once
 
 
 def words_of(*texts: str) -> Column:
@@ -50,6 +51,8 @@ def trie_self_join(sig: np.ndarray, size: np.ndarray, t: float, side: np.ndarray
     order = np.lexsort(tuple(sig[:, w] for w in range(WORDS - 1, -1, -1)))
     s, n = sig[order], size[order].astype(np.int64)
     d = None if side is None else side[order]
+    part = (share * n + 5e-5).astype(np.float32)  # a set's part of a pair's budget
+    first, second = np.ascontiguousarray(s[:, 0]), np.ascontiguousarray(s[:, 1])
     out_i: list[np.ndarray] = []
     out_j: list[np.ndarray] = []
     # A node is a range of the sorted bitmaps that agree on the first ``depth`` bits.
@@ -69,20 +72,22 @@ def trie_self_join(sig: np.ndarray, size: np.ndarray, t: float, side: np.ndarray
                 todo.append((am, a1, b0, bm, depth + 1, diff + 1))
             continue
         same = (a0, a1) == (b0, b1)
-        step = max(1, LEAF // (b1 - b0))
+        step = max(1, CACHED // (b1 - b0))
         for lo in range(a0, a1, step):
             hi = min(a1, lo + step)
-            budget = np.floor(share * (n[lo:hi, None] + n[None, b0:b1]) + 1e-9).astype(np.int16)
-            acc = np.bitwise_count(s[lo:hi, None, 0] ^ s[None, b0:b1, 0]).astype(np.int16)
-            acc += np.bitwise_count(s[lo:hi, None, 1] ^ s[None, b0:b1, 1])
-            ok = acc <= budget
+            c0 = lo if same else b0  # each pair of a node with itself once
+            # The first half of the bits for all pairs; the other half only for those still within budget.
+            acc = np.bitwise_count(first[lo:hi, None] ^ first[None, c0:b1])
+            acc += np.bitwise_count(second[lo:hi, None] ^ second[None, c0:b1])
+            ok = acc <= part[lo:hi, None] + part[None, c0:b1]
             if same:
-                ok &= np.arange(lo, hi)[:, None] < np.arange(b0, b1)[None, :]
+                ok &= np.arange(lo, hi)[:, None] < np.arange(c0, b1)[None, :]
             if d is not None:
-                ok &= d[lo:hi, None] != d[None, b0:b1]
+                ok &= d[lo:hi, None] != d[None, c0:b1]
             i, j = np.nonzero(ok)
-            acc, budget = acc[i, j], budget[i, j]
-            i, j = i + lo, j + b0
+            acc = acc[i, j].astype(np.int16)
+            i, j = i + lo, j + c0
+            budget = part[i] + part[j]
             for w in range(2, WORDS):
                 acc = acc + np.bitwise_count(s[i, w] ^ s[j, w])
                 keep = acc <= budget
