@@ -71,7 +71,7 @@ def structural_role(c: Col) -> Column:
     t = col(c)
     labels = [(t.rlike(f"(?i)^{k}\\s*:" + ("\\s*\\S+" if k == "ID" else "")), R.LABEL_ROLES[k]) for k in R.LABELS]
     return first_match(
-        [*labels, (t.rlike(f"(?i)^({'|'.join(R.PLANGUAGE)})\\s*:"), "planguage"), (t.rlike(f"(?i)^({'|'.join(R.GHERKIN)})\\s*[:\\s]"), "gherkin")], "prose"
+        [*labels, (t.rlike(f"(?i)^({'|'.join(R.PLANGUAGE)})\\s*:"), "planguage_keyword"), (t.rlike(f"(?i)^({'|'.join(R.GHERKIN)})\\s*[:\\s]"), "gherkin_keyword")], "prose_content"
     )
 
 
@@ -158,3 +158,115 @@ def parent_chunk_id(doc_id: Col, section: Col) -> Column:
 def child_chunk_id(doc_id: Col, section: Col, cru_id: Col, text: Col) -> Column:
     parts = [F.coalesce(col(c), F.lit("")) for c in (doc_id, section, cru_id)]
     return F.concat(F.lit("CH_"), F.sha2(F.concat(*parts, F.lower(F.trim(F.coalesce(col(text), F.lit(""))))), 256))
+
+
+def roman_value(c: Col) -> Column:
+    """1 to 10 of a roman numeral in the letters I, V and X, lax forms included; null for anything else.
+
+    Each letter counts minus its value if the letter after it is greater.
+    """
+    s = F.upper(F.trim(col(c)))
+    v = lambda x: F.when(x == "I", 1).when(x == "V", 5).when(x == "X", 10)
+    letters = F.filter(F.split(s, ""), lambda x: x != "")
+    values = F.transform(letters, v)
+    after = F.transform(letters, lambda x, i: F.coalesce(F.try_element_at(values, i + 2), F.lit(0)))
+    total = F.aggregate(F.zip_with(values, after, lambda a, b: F.when(a < b, -a).otherwise(a)), F.lit(0), lambda x, y: x + y)
+    return F.when(s.rlike("^[IVX]+$") & total.between(1, 10), total)
+
+
+def section_path(c: Col) -> Column:
+    """Numbers as they are; roman numerals and single letters as A.n; anything else unchanged, null as ''."""
+    s = F.trim(col(c))
+    n = roman_value(col(c))
+    letter = F.ascii(F.upper(s)) - 64
+    return first_match([
+        (col(c).isNull(), F.lit("")), (s.rlike(r"^\d+(\.\d+)*$"), s), (n.isNotNull(), F.concat(F.lit("A."), n.cast("string"))),
+        (s.rlike("^[A-Za-z]$"), F.concat(F.lit("A."), letter.cast("string"))),
+    ], col(c))
+
+
+def input_format(roles: Col) -> Column:
+    """Format of a requirement from the set of its blocks' roles: labeled before gherkin before planguage before prose."""
+    has = lambda x: F.array_contains(roles, x)
+    rest = F.filter(roles, lambda x: ~x.isin("section_heading", "req_id_label", "prose_content", "table_block"))
+    return first_match([
+        (has("req_id_label") & has("req_desc_label"), "labeled"), (has("req_id_label") & has("gherkin_keyword"), "gherkin"),
+        (has("req_id_label") & (F.size(rest) > 0) & F.forall(rest, lambda x: x.startswith("planguage_")), "planguage"),
+    ], "prose")
+
+
+def actor(c: Col) -> Column:
+    t = F.lower(F.coalesce(col(c), F.lit("")))
+    return first_match([(t.contains(w), label) for w, label in R.ACTORS], R.ACTOR_OTHER)
+
+
+def tag_parts(c: Col) -> Column:
+    """A tag's first word as id and the rest as title; without a rest the title is the id."""
+    t = F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", " "))
+    rest = F.trim(F.regexp_replace(t, r"^\S+", ""))
+    first = F.regexp_extract(t, r"^(\S+)", 1)
+    return F.struct(first.alias("id"), F.when(rest == "", first).otherwise(rest).alias("title"))
+
+
+def provenance_confidence(method: Col, has_nulls: Column) -> Column:
+    known = F.coalesce(col(method).isin("deterministic", "llm", "llm_structured"), F.lit(False))
+    return first_match([(known & ~has_nulls, "high"), (known & has_nulls, "medium")], "low")
+
+
+def method_confidence(method: Col) -> Column:
+    return first_match([(col(method) == k, v) for k, v in R.METHOD_CONFIDENCE.items()], "low")
+
+
+def unit_type(kind: Col, title: Col, description: Col) -> Column:
+    t = F.lower(F.concat_ws(" ", F.coalesce(col(title), F.lit("")), F.coalesce(col(description), F.lit(""))))
+    quality = first_match([(t.contains(w), k) for w, k in R.QUALITY_TYPES], R.QUALITY_TYPE_OTHER)
+    return first_match([*[(col(kind) == k, v) for k, v in R.UNIT_TYPES.items()], (col(kind) == "quality_attributes", quality)], R.UNIT_TYPE_OTHER)
+
+
+def path_kind(c: Col) -> Column:
+    p = F.lower(F.coalesce(col(c), F.lit("")))
+    return first_match([(p.rlike(w), k) for w, k in R.PATH_KINDS], R.PATH_KIND_OTHER)
+
+
+def heading(c: Col) -> Column:
+    """(level, method) of a line that may be a heading: numeric, all capitals or title case; level null if it is none."""
+    t = F.trim(col(c))
+    none = F.lit(None).cast("int")
+    listed = t.rlike(r"^(?:\d+\.)+\s+(?:The|If|When|After|Once|This|All|Each|Based)\b|[:.,]\s*$")
+    numeric = t.rlike(r"^\d+(?:\.\d+)*")
+    depth = F.least(F.size(F.split(F.regexp_extract(t, r"^(\d+(?:\.\d+)*)", 1), r"\.")), F.lit(6))
+    kind = first_match([
+        ((t == "") | (F.length(t) > 120), "none"), (numeric & listed, "list_item"), (numeric & (F.length(t) > 80), "too_long"), (numeric, "numeric"),
+        (t.rlike(r"^[A-Z][A-Z\s\-:]{4,60}$"), "allcaps"), (t.endswith(":"), "label"),
+        (t.rlike(r"^[A-Z][a-zA-Z0-9\s\-:,/()]{4,79}[^.?!\n]$") & (F.length(t) <= 60) & t.rlike(r"\S\s+\S"), "titlecase"),
+    ], "none")
+    level = F.when(kind == "numeric", depth).when(kind == "allcaps", 1).when(kind == "titlecase", 2).otherwise(none)
+    return F.struct(level.alias("level"), kind.alias("method"))
+
+
+def short_title(c: Col, max_words: int = 12) -> Column:
+    """The first sentence or the first line, whichever is shorter, cut to ``max_words`` words."""
+    t = F.trim(col(c))
+    sentence, line = F.coalesce(F.try_element_at(sentences(t), F.lit(1)), F.lit("")), F.substring_index(t, "\n", 1)
+    best = F.when(F.length(sentence) <= F.length(line), sentence).otherwise(line)
+    w = F.filter(F.split(best, r"\s+"), lambda x: x != "")
+    return F.when(F.size(w) <= max_words, F.trim(best)).otherwise(F.concat(F.array_join(F.slice(w, 1, max_words), " "), F.lit("...")))
+
+
+def skip_block(section: Col, kind: Col, role: Col, text: Col, low_confidence: Column) -> Column:
+    """Whether a block is noise: preamble, contents, short text, a bare number, an unsure heading outside requirement sections."""
+    t = F.trim(F.coalesce(col(text), F.lit("")))
+    labels = list(R.LABEL_ROLES.values())
+    return F.coalesce(
+        (col(section) == "PREAMBLE") | ((col(kind) == "toc") & (col(role) != "section_heading")) | ((F.length(t) < R.SHORT_TEXT) & ~col(role).isin(labels)) | t.rlike(r"^\d+$")
+        | (low_confidence & (col(role) == "section_heading") & ~col(kind).isin(R.REQUIREMENT_SECTIONS)), F.lit(False),
+    )
+
+
+def keep_picture(width: Col, height: Col, page_area: Col) -> Column:
+    """Six gates: both sides, area, aspect and share of the page; false without a page area."""
+    w, h, a = col(width), col(height), col(page_area)
+    cover = w * h / F.when(a > 0, a)
+    lo, hi = R.PICTURE_COVER
+    ok = (w >= R.PICTURE_SIDE) & (h >= R.PICTURE_SIDE) & (w * h >= R.PICTURE_AREA) & (F.greatest(w, h) / F.when(F.least(w, h) > 0, F.least(w, h)) <= R.PICTURE_ASPECT) & cover.between(lo, hi)
+    return F.coalesce(ok, F.lit(False))

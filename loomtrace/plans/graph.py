@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomtrace.operators import context as C
 from loomtrace.operators import graph as G
-from loomtrace.session import table
+from loomtrace.session import materialize, table
 
 
 def _n(spark, d):
@@ -199,6 +200,42 @@ def a17_fallback_gate(spark, d):
     return G.fallback_gate(_arrivals(spark, d))
 
 
+def _pack_parts(spark, d):
+    # Written once: evidence, gate, related nodes and warnings all read the arrivals.
+    arr, n = materialize(_arrivals(spark, d), "arrivals"), _n(spark, d)
+    ev = G.evidence(arr, n, 8).join(n.select("node_id", "doc_id", "section_path", "source_locator_json"), "node_id").withColumn("provenance", F.lit("graph"))
+    anchors = _ids(spark, d).select(F.col("node_id").alias("anchor"))
+    return anchors, ev, arr, C.warnings(anchors, ev, ["doc_id", "section_path", "source_locator_json"], G.fallback_gate(arr))
+
+
+def f12_warnings(spark, d):
+    return _pack_parts(spark, d)[3].distinct()
+
+
+def g10_context_pack(spark, d):
+    anchors, ev, arr, notes = _pack_parts(spark, d)
+    parents = G.parent_context(ev.select("node_id").distinct(), _e(spark, d), 3)
+    p = C.pack(anchors, ev, parents, notes, arr)
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(f"n_{c}")
+    return p.select("anchor", n("evidence"), n("parents"), n("related"), n("warnings"), F.col("evidence")[0]["node_id"].alias("best"))
+
+
+def f13_citations(spark, d):
+    """Tests against the evidence of the unit they name: citations are the chunks of their EVIDENCE_FOR edges."""
+    e = _e(spark, d)
+    ev = e.where("rel_type = 'SUPPORTED_BY'").select(F.col("src_id").alias("anchor"), F.col("dst_id").alias("node_id"))
+    cited = e.where("rel_type = 'EVIDENCE_FOR'").groupBy(F.col("src_id").alias("test_id")).agg(F.collect_set("dst_id").alias("citations"))
+    t = G.upsert_last(table(spark, d, "test_cases").where("test_id is not null"), ["test_id"], [F.col("loaded_at"), F.col("created_at"), F.coalesce("expected_result", F.lit("")), F.coalesce("priority", F.lit(""))])
+    t = t.join(cited, "test_id", "left").withColumnRenamed("requirement_id", "anchor")
+    return C.check_citations(t, ev).select("test_id", "n_steps", F.size("citations").alias("n_citations"), "code")
+
+
+def j20_array_join(spark, d):
+    """Array-containment join: units and the chunks whose list of unit ids names them."""
+    ch = table(spark, d, "chunks").select("chunk_id", F.explode("cru_ids").alias("cru_id")).distinct()
+    return table(spark, d, "crus").select("cru_id").distinct().join(ch, "cru_id").select("cru_id", "chunk_id")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and k[0].islower() and any(c.isdigit() for c in k[:5])}
 
 N = """n as (select * exclude r from (select *, row_number() over (partition by node_id order by created_at desc, coalesce(title, '') desc, coalesce(text, '') desc, coalesce(module, '') desc, coalesce(version, '') desc) r from nodes) where r = 1)"""
@@ -281,4 +318,20 @@ ORACLE = {
       select anchor, node_id, score, depth, cast(r as int) rank from (select b.*, row_number() over (partition by anchor order by score desc, b.node_id) r from b join n using (node_id) where {KIND} = 'child') where r <= 8""",
     "g6_related_nodes": ARR.replace("with e as", f"with {N}, e as", 1) + " select anchor, node_type, count(distinct node_id) n from arr join n using (node_id) group by 1, 2",
     "a17_fallback_gate": ARR + " select anchor, count(*) n, round(avg(confidence), 6) mean_confidence, (count(*) < 3 or avg(confidence) < 0.65 or not bool_or(contains(path, 'SUPPORTED_BY'))) fallback from arr group by 1",
+    "j20_array_join": "select distinct c.cru_id, h.chunk_id from crus c join (select chunk_id, unnest(cru_ids) cru_id from chunks) h on h.cru_id = c.cru_id",
+    "f13_citations": f"""with {E}, tc as (select * from (select *, row_number() over (partition by test_id order by loaded_at desc, created_at desc, coalesce(expected_result, '') desc, coalesce(priority, '') desc) r from test_cases where test_id is not null) where r = 1),
+      k as (select tc.test_id, count(distinct s.dst_id) n from tc join e c on c.rel_type = 'EVIDENCE_FOR' and c.src_id = tc.test_id join e s on s.rel_type = 'SUPPORTED_BY' and s.src_id = tc.requirement_id and s.dst_id = c.dst_id group by 1)
+      select tc.test_id, cast(coalesce(len(test_steps), 0) as int) n_steps, cast(coalesce(n, 0) as int) n_citations, case when coalesce(len(test_steps), 0) < 1 then 'no_steps' when trim(coalesce(expected_result, '')) = '' then 'no_expected_result' when coalesce(n, 0) = 0 then 'unresolved' end code
+      from tc left join k using (test_id)""",
+}
+_EV = ARR.replace("with e as", f"with {N}, e as", 1) + f""", b as (select anchor, node_id, max(score) score from arr group by 1, 2), ev as (select anchor, node_id, score, r from (select b.*, row_number() over (partition by anchor order by score desc, b.node_id) r from b join n using (node_id) where {KIND} = 'child') where r <= 8),
+ ex as (select ev.*, n.doc_id, n.section_path, n.source_locator_json from ev join n using (node_id)), fg as (select anchor from arr group by 1 having count(*) < 3 or avg(confidence) < 0.65 or not bool_or(contains(path, 'SUPPORTED_BY'))),
+ nt as (select node_id anchor, 'MISSING_EVIDENCE' code, null::varchar as ref from ids where node_id not in (select anchor from ev) union select anchor, 'MISSING_FIELD:doc_id', node_id from ex where coalesce(doc_id, '') = ''
+   union select anchor, 'MISSING_FIELD:section_path', node_id from ex where coalesce(section_path, '') = '' union select anchor, 'MISSING_FIELD:source_locator_json', node_id from ex where coalesce(source_locator_json, '') = ''
+   union select anchor, 'VECTOR_FALLBACK_TRIGGERED', null from fg where anchor in (select anchor from ev))"""
+ORACLE |= {
+    "f12_warnings": _EV + " select * from nt",
+    "g10_context_pack": _EV + """, pr as (select dst_id child, src_id parent from (select *, row_number() over (partition by dst_id order by confidence desc, src_id) r from e where rel_type = 'PARENT_OF' and dst_id in (select node_id from ev)) where r <= 3)
+      select i.node_id anchor, cast((select count(*) from ev where anchor = i.node_id) as int) n_evidence, cast((select count(distinct parent) from ev join pr on pr.child = ev.node_id where anchor = i.node_id) as int) n_parents,
+        cast(least(20, (select count(*) from arr where anchor = i.node_id)) as int) n_related, cast((select count(*) from nt where anchor = i.node_id) as int) n_warnings, (select node_id from ev where anchor = i.node_id and r = 1) best from ids i""",
 }

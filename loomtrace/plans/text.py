@@ -218,6 +218,62 @@ def o8_sample(spark, d):
     return G.node_versions(table(spark, d, "nodes")).withColumn("r", F.row_number().over(w)).where("r <= 3").select("node_type", "node_id")
 
 
+def f1_skip_blocks(spark, d):
+    """How many lines of each section type are noise."""
+    b = S.sections(_lines(spark, d)).withColumn("role", X.structural_role(F.trim("line"))).withColumn("kind", X.section_type("section_path", F.lit(None).cast("string")))
+    return b.groupBy("kind", X.skip_block("section_path", "kind", "role", "line", F.lit(False)).alias("skip")).agg(F.count("*").alias("n"))
+
+
+def x13_input_format(spark, d):
+    """Format of each text from the roles of its lines."""
+    b = _lines(spark, d).groupBy("doc_id").agg(F.collect_set(X.structural_role(F.trim("line"))).alias("roles"))
+    return b.select("doc_id", X.input_format("roles").alias("format"))
+
+
+def x14_actor(spark, d):
+    return table(spark, d, "requirements").groupBy(X.actor(F.concat_ws(" ", "actor", "description")).alias("actor")).agg(F.count("*").alias("n"))
+
+
+def x19_provenance_confidence(spark, d):
+    nulls = F.col("actor").isNull() | F.col("dependencies").isNull() | F.col("acceptance_criteria").isNull()
+    return table(spark, d, "requirements").groupBy("extraction_method", X.provenance_confidence("extraction_method", nulls).alias("confidence")).agg(F.count("*").alias("n"))
+
+
+def x21_unit_type(spark, d):
+    r = table(spark, d, "requirements").withColumn("kind", X.section_type("section_path", "title"))
+    return r.groupBy("kind", X.unit_type("kind", "title", "description").alias("type"), X.method_confidence("extraction_method").alias("confidence")).agg(F.count("*").alias("n"))
+
+
+def x35_heading(spark, d):
+    return _lines(spark, d).select(X.heading("line").alias("h")).groupBy("h.level", "h.method").agg(F.count("*").alias("n"))
+
+
+def a28_ingestion_audit(spark, d):
+    """Per text: lines, headings by method, longest line, and whether it has any structure."""
+    h = _lines(spark, d).where("trim(line) <> ''").select("doc_id", F.length("line").alias("n"), X.heading("line").alias("h"))
+    g = h.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("h.method") == "numeric").alias("numeric"), F.count_if(F.col("h.level").isNotNull()).alias("headings"), F.max("n").alias("longest"))
+    return g.withColumn("structured", F.col("headings") > 0)
+
+
+def x41_short_title(spark, d):
+    return table(spark, d, "requirements").where("description is not null").select("req_id", X.short_title("description").alias("short")).distinct()
+
+
+def x42_path_kind(spark, d):
+    s = nested.skeleton_sections(table(spark, d, "raw_skeletons"))
+    return s.groupBy(X.path_kind("title").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def a18_acceptance(spark, d):
+    """Best similarity of each query vector among one label's vectors, and how many support it."""
+    base = table(spark, d, "embeddings").where("label = 2").select(F.col("vec_id").alias("id"), "embedding")
+    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding")
+    r = V.top_k(base, q, 10)
+    best = F.max("cosine")
+    g = r.groupBy("query_id").agg(F.round(best, 4).alias("best"), F.count_if(F.col("cosine") >= R.ACCEPT_PARTIAL).alias("support"))
+    return g.withColumn("verdict", X.first_match([(F.col("best") >= R.ACCEPT_MATCH, "match"), (F.col("best") >= R.ACCEPT_PARTIAL, "partial")], "missing"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and k[0].islower() and any(c.isdigit() for c in k[:4])}
 
 LN = "ln as (select doc_id, unnest(l) line, generate_subscripts(l, 1) - 1 pos from (select doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') l from documents where text is not null))"
@@ -229,7 +285,7 @@ TYPE = "case when section_path = 'PREAMBLE' then 'toc' " + " ".join(
     f"when regexp_matches({'section_path' if w == 'path' else chr(39).join(['lower(coalesce(title, ', '', '))'])}, '{p}') then '{k}'" for w, p, k in R.SECTION_TYPES
 ) + " " + " ".join(f"when regexp_matches(section_path, '{p}') then '{k}'" for w, p, k in R.SECTION_TYPES if w == "path") + " else 'other' end"
 ROLE = "case " + " ".join(f"when regexp_matches(trim(line), '(?i)^{k}\\s*:{chr(92) + 's*' + chr(92) + 'S+' if k == 'ID' else ''}') then '{R.LABEL_ROLES[k]}'" for k in R.LABELS) + (
-    f" when regexp_matches(trim(line), '(?i)^({'|'.join(R.PLANGUAGE)})\\s*:') then 'planguage' when regexp_matches(trim(line), '(?i)^({'|'.join(R.GHERKIN)})[:\\s]|^({'|'.join(R.GHERKIN)})\\s+[:\\s]') then 'gherkin' else 'prose' end"
+    f" when regexp_matches(trim(line), '(?i)^({'|'.join(R.PLANGUAGE)})\\s*:') then 'planguage_keyword' when regexp_matches(trim(line), '(?i)^({'|'.join(R.GHERKIN)})[:\\s]|^({'|'.join(R.GHERKIN)})\\s+[:\\s]') then 'gherkin_keyword' else 'prose_content' end"
 )
 _M = lambda p: f"regexp_matches(lower(line), '{p}')"
 ROLES = f"""concat_ws(',', case when {_M(R.MODALS)} and {_M(R.BEHAVIOUR)} then 'behaviour' end, case when {_M(R.INPUTS)} then 'input' end, case when {_M(R.OUTPUTS)} then 'output' end, case when {_M(R.CONSTRAINTS)} then 'constraint' end)"""
@@ -243,6 +299,12 @@ TOP5 = f"""tk as (select a.vec_id query_id, b.vec_id id, {COS} c from embeddings
  t5 as (select query_id, id, round(c, 4) cosine, cast(r as int) rank from (select *, row_number() over (partition by query_id order by c desc, id) r from tk) where r <= 5)"""
 FIRST_NODES = "n as (select distinct node_type, node_id from (select *, row_number() over (partition by node_id order by created_at desc, coalesce(title, '') desc, coalesce(text, '') desc) r from nodes) where r = 1)"
 
+_T = "trim(line)"
+_NUM = f"regexp_matches({_T}, '^\\d+(?:\\.\\d+)*')"
+METHOD = f"""case when {_T} = '' or length({_T}) > 120 then 'none' when {_NUM} and regexp_matches({_T}, '^(?:\\d+\\.)+\\s+(?:The|If|When|After|Once|This|All|Each|Based)\\b|[:.,]\\s*$') then 'list_item'
+  when {_NUM} and length({_T}) > 80 then 'too_long' when {_NUM} then 'numeric' when regexp_matches({_T}, '^[A-Z][A-Z\\s\\-:]{{4,60}}$') then 'allcaps' when suffix({_T}, ':') then 'label'
+  when regexp_matches({_T}, '^[A-Z][a-zA-Z0-9\\s\\-:,/()]{{4,79}}[^.?!\\n]$') and length({_T}) <= 60 and regexp_matches({_T}, '\\S\\s+\\S') then 'titlecase' else 'none' end"""
+HEADS = f"""{LN}, hm as (select *, {METHOD} method from ln), hl as (select *, cast(case method when 'numeric' then least(len(string_split(regexp_extract({_T}, '^(\\d+(?:\\.\\d+)*)', 1), '.')), 6) when 'allcaps' then 1 when 'titlecase' then 2 end as int) as level from hm)"""
 ORACLE = {
     "x2_squeeze": "select doc_id, md5(trim(regexp_replace(coalesce(title, ''), '[\\s\\x{00a0}\\x{200b}]+', ' ', 'g'))) h, cast(length(trim(regexp_replace(coalesce(title, ''), '[\\s\\x{00a0}\\x{200b}]+', ' ', 'g'))) as int) n from documents",
     "x5_norm_title": "select regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g') t, count(*) n from nodes group by 1",
@@ -291,4 +353,23 @@ ORACLE = {
     "u1_union": "select test_type, priority, count(*) n from (select test_type, priority from test_cases union all select test_type, priority from new_test_cases) group by 1, 2",
     "u3_shared_words": f"with t as (select distinct req_id, list_sort({WORDS('title')}) a, list_sort({WORDS('description')}) b from requirements) select req_id, cast(len(list_intersect(a, b)) as int) n_both, cast(len(list_filter(a, lambda x: not list_contains(b, x))) as int) only_title, cast(len(b) as int) n_description from t",
     "o8_sample": f"with {FIRST_NODES} select node_type, node_id from (select *, row_number() over (partition by node_type order by md5(node_id), node_id) r from n) where r <= 3",
+    "f1_skip_blocks": f"""with {SECS}, b as (select *, null::varchar title, {ROLE} rl from sc), k as (select *, {TYPE} kind from b)
+      select kind, (section_path = 'PREAMBLE' or kind = 'toc' or (length(trim(line)) < 8 and rl not in ({', '.join(repr(x) for x in R.LABEL_ROLES.values())})) or regexp_matches(trim(line), '^\\d+$')) skip, count(*) n from k group by 1, 2""",
+    "x13_input_format": f"""with {LN}, r as (select doc_id, list_distinct(list({ROLE})) rs from ln group by 1), o as (select doc_id, rs, list_filter(rs, lambda x: x not in ('section_heading', 'req_id_label', 'prose_content', 'table_block')) ot from r)
+      select doc_id, case when list_contains(rs, 'req_id_label') and list_contains(rs, 'req_desc_label') then 'labeled' when list_contains(rs, 'req_id_label') and list_contains(rs, 'gherkin_keyword') then 'gherkin'
+        when list_contains(rs, 'req_id_label') and len(ot) > 0 and len(list_filter(ot, lambda x: not starts_with(x, 'planguage_'))) = 0 then 'planguage' else 'prose' end format from o""",
+    "x14_actor": "select case " + " ".join(f"when contains(lower(concat_ws(' ', actor, description)), '{w}') then '{k}'" for w, k in R.ACTORS) + f" else '{R.ACTOR_OTHER}' end actor, count(*) n from requirements group by 1",
+    "x19_provenance_confidence": """select extraction_method, case when extraction_method in ('deterministic', 'llm', 'llm_structured') then case when actor is null or dependencies is null or acceptance_criteria is null then 'medium' else 'high' end else 'low' end confidence, count(*) n
+      from requirements group by 1, 2""",
+    "x21_unit_type": f"""with r as (select *, {TYPE} kind from requirements) select kind, case when kind in ('functional_requirements', 'interface_requirements', 'performance_requirements') then 'security' when kind = 'design_constraints' then 'constraint'
+      when kind = 'quality_attributes' then case {' '.join(f"when contains(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '{w}') then '{k}'" for w, k in R.QUALITY_TYPES)} else 'quality' end else 'security' end as type,
+      case extraction_method when 'deterministic' then 'high' when 'llm' then 'medium' when 'regex_fallback' then 'low' else 'low' end confidence, count(*) n from r group by 1, 2, 3""",
+    "x35_heading": f"with {HEADS} select level, method, count(*) n from hl group by 1, 2",
+    "a28_ingestion_audit": f"""with {HEADS}, g as (select doc_id, count(*) lines, count(*) filter (method = 'numeric') as numeric, count(level) headings, cast(max(length(line)) as int) longest from hl where trim(line) <> '' group by 1) select *, headings > 0 structured from g""",
+    "x42_path_kind": f"with {SK} select case " + " ".join(f"when regexp_matches(lower(coalesce(title, '')), '{w}') then '{k}'" for w, k in R.PATH_KINDS) + f" else '{R.PATH_KIND_OTHER}' end kind, count(*) n from so group by 1",
+    "x41_short_title": """with r as (select distinct req_id, trim(description) t from requirements where description is not null), s as (select *, coalesce(list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[1], '') sn, string_split(t, chr(10))[1] ln from r),
+      b as (select *, case when length(sn) <= length(ln) then sn else ln end best from s), w as (select *, list_filter(string_split_regex(best, '\\s+'), lambda x: x <> '') ws from b)
+      select distinct req_id, case when len(ws) <= 12 then trim(best) else array_to_string(ws[1:12], ' ') || '...' end short from w""",
+    "a18_acceptance": f"""with tk as (select a.vec_id query_id, {COS} c from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.label = 2), r as (select *, row_number() over (partition by query_id order by c desc) k from tk),
+      g as (select query_id, round(max(c), 4) best, count(*) filter (c >= 0.5) support from r where k <= 10 group by 1) select *, case when best >= 0.65 then 'match' when best >= 0.5 then 'partial' else 'missing' end verdict from g""",
 }

@@ -134,7 +134,7 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("a – b   c\nd ", "3.2.1", "User Interface"), (None, "1", None), ("", "A.1", "x"), ("DESC: x", "9.9", "References")], "t string, p string, title string")
     got = df.select(X.clean_text("t"), X.section_type("p", "title"), X.ancestors("p"), X.structural_role("t"), X.section_level("p"), X.parent_path("p")).collect()
     assert got[0][0] == "a - b  c\nd" and [r[1] for r in got] == ["interface_requirements", "introduction", "prioritization", "references"]
-    assert got[0][2] == ["3", "3.2"] and got[1][2] == [] and got[3][3] == "description_label" and got[0][5] == "3.2" and got[1][5] is None
+    assert got[0][2] == ["3", "3.2"] and got[1][2] == [] and got[3][3] == "req_desc_label" and got[0][5] == "3.2" and got[1][5] is None
     s = spark.createDataFrame([("One. Two must! three",), ("plain. text",)], "t string").select(X.modal_sentences("t")).collect()
     assert s[0][0] == ["Two must!"] and s[1][0] == ["plain. text"]
     st = spark.createDataFrame([("Partial pass",), ("not tested",), (None,), ("PASSED",)], "t string").select(X.status("t")).collect()
