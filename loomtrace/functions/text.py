@@ -270,3 +270,9 @@ def keep_picture(width: Col, height: Col, page_area: Col) -> Column:
     lo, hi = R.PICTURE_COVER
     ok = (w >= R.PICTURE_SIDE) & (h >= R.PICTURE_SIDE) & (w * h >= R.PICTURE_AREA) & (F.greatest(w, h) / F.when(F.least(w, h) > 0, F.least(w, h)) <= R.PICTURE_ASPECT) & cover.between(lo, hi)
     return F.coalesce(ok, F.lit(False))
+
+
+def may_split(c: Col) -> Column:
+    """Whether a description lists several behaviours: a clause mark, or two sentences that begin with such a verb."""
+    t = F.coalesce(col(c), F.lit(""))
+    return (F.length(F.trim(t)) >= 10) & (t.rlike(R.FOR_CLAUSE) | (F.size(F.regexp_extract_all(t, F.lit(R.IMPERATIVES), F.lit(0))) >= 2))

@@ -1,8 +1,8 @@
 """The query catalogue: every query with its SQL statement where SQL can say it."""
 
-from loomtrace.plans import graph, problems, text, units
+from loomtrace.plans import graph, more, problems, text, units
 
-_MODULES = [problems, graph, units, text]
+_MODULES = [problems, graph, units, text, more]
 
 
 def all_queries() -> dict:

@@ -42,3 +42,9 @@ def test_more_text_functions(spark):
     r = spark.createDataFrame([(["req_id_label", "req_desc_label", "gherkin_keyword"],), (["req_id_label", "gherkin_keyword"],), (["req_id_label", "planguage_keyword", "prose_content"],), (["req_id_label"],), ([],)], "r array<string>")
     assert [x[0] for x in r.select(X.input_format("r")).collect()] == ["labeled", "gherkin", "planguage", "prose", "prose"]
     assert spark.range(1).select(X.actor(F.lit("The Admin user")), X.method_confidence(F.lit("llm")), X.provenance_confidence(F.lit("llm"), F.lit(True))).first()[:] == ("Administrator", "medium", "medium")
+
+
+def test_may_split(spark):
+    cases = {"Validates the form.\nInserts the row": True, "Validates the form": False, "x\nFor guests: show the page": True, "Filters": False, "it validates. it inserts": False, None: False}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.may_split("t").alias("s"))
+    assert {r["t"]: r["s"] for r in got.collect()} == cases
