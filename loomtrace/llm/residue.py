@@ -212,25 +212,26 @@ def bucket(word: str) -> int:
 
 
 def passages_of(text: str) -> list[str]:
-    """A text, or the string values of a JSON text."""
-    s = text.strip()
-    if s[:1] in "{[" and s[-1:] in "}]":
-        try:
-            tree = json.loads(s)
-        except ValueError:
-            return [s]
-        out: list[str] = []
-        todo = [tree]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                out.append(x)
-            elif isinstance(x, dict):
-                todo += x.values()
-            elif isinstance(x, list):
-                todo += x
-        return [x for x in out if x.strip()]
-    return [s] if s else []
+    """A text, or the string values of a JSON text, also of one that is itself such a value."""
+    out: list[str] = []
+    todo: list = [text]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            s = x.strip()
+            if s[:1] in ("{", "[") and s[-1:] in ("}", "]"):
+                try:
+                    todo.append(json.loads(s))
+                    continue
+                except (ValueError, RecursionError):
+                    pass
+            if s:
+                out.append(s)
+        elif isinstance(x, dict):
+            todo += x.values()
+        elif isinstance(x, list):
+            todo += x
+    return out
 
 
 def field_texts(tests: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ RESIDUE = [
     "{{field}}", "Enter {{ screen }} and press the save button", "Sign in as %threshold% and open the list", "[insert amount here]", "The page shows ${user_name} to the user", "Send a request with «role» set", "____",
     "The manifest ends in state [[status]]", "TODO", "TODO: write this step", "TBD / clarify input", "lorem ipsum dolor sit amet, consectetur adipiscing elit", "foo xxx bar", "Enter your data here", "[value]", "...",
     "n/a - fill in later", "Sorry, the journal editor is currently overloaded. Retry in 5 seconds.", "502 Bad Gateway", "<html><head><title>404 Not Found</title></head><body><h1>404 Not Found</h1></body></html>",
-    '{"error": {"code": 429, "message": "Too Many Requests"}}', "An unexpected error occurred while processing your request. Reference: 9f3b", "Please enable JavaScript to view this page.", "<noscript>Turn on JS to use this application</noscript>",
+    '{"error": {"code": 429, "message": "Too Many Requests"}}', '{"input": "{\\"error\\": {\\"code\\": 403, \\"message\\": \\"Forbidden\\"}}", "rows": 38}', "An unexpected error occurred while processing your request. Reference: 9f3b", "Please enable JavaScript to view this page.", "<noscript>Turn on JS to use this application</noscript>",
     "Your browser does not run scripts or they are blocked; the content cannot be shown.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "The form is saved. Describe the expected outcome of this step",
 ]
 CONTENT = [
@@ -43,3 +43,7 @@ def test_fields_and_clean(spark):
 @pytest.mark.parametrize(("text", "words"), [("{{ a b }} x", ["⌂", "x"]), ("{a} 12 JS", ["a", "0", "js"]), ("turn on client-side scripts", ["enable", "js"]), ("[step]", ["⊏"]), ("…", ["…"]), ("<p>x</p>", ["x"])])
 def test_words(text, words):
     assert R.words_of(text) == words
+
+
+def test_passages():
+    assert sorted(R.passages_of('{"a": ["x", {"b": "[\\"y\\"]"}], "n": 1, "e": " "}')) == ["x", "y"] and R.passages_of("[not json]") == ["[not json]"] and R.passages_of(" ") == [] and R.passages_of("[]") == []
