@@ -56,6 +56,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_shared(spark: SparkSession) -> None:
+    """Remove the tables ``materialize`` has written; call it when no DataFrame that reads them is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomtrace")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def key_bucket(col, n: int):
     """A stable hash bucket in 0..n-1; null keys share one bucket."""
     return F.pmod(F.xxhash64(col), F.lit(n))

@@ -88,3 +88,12 @@ def test_stream_upsert(spark, tmp_path):
     batch = spark.read.parquet(f"{out}/v=0")
     I.upsert_into(out, ["event_id"], ["ts"])(batch, 1)  # a batch that is run again replaces its own version
     assert spark.read.parquet(f"{out}/v=1").count() == 2
+
+
+def test_shared_folder(spark):
+    from loomtrace.session import clean_shared, materialize, shared_dir
+
+    df = materialize(spark.range(5), "tables")
+    assert df.count() == 5 and df.inputFiles()[0].startswith(shared_dir(spark).replace("file:///", "file:///"))
+    clean_shared(spark)
+    assert materialize(spark.range(3), "tables").count() == 3
