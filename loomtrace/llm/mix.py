@@ -16,8 +16,6 @@ Of a source that is listed twice in the targets the shares add up and the greate
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
