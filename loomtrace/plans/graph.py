@@ -18,8 +18,8 @@ def _e(spark, d):
 
 
 def _ids(spark, d):
-    """Anchors: every CRU whose name ends in 0-01, a set that grows with the data."""
-    return table(spark, d, "crus").where(F.col("cru_id").endswith("0-01")).select(F.col("cru_id").alias("node_id")).distinct()
+    """Anchors: every CRU of the table."""
+    return table(spark, d, "crus").where("cru_id is not null").select(F.col("cru_id").alias("node_id")).distinct()
 
 
 def w1_upsert_nodes(spark, d):
