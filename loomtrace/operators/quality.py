@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomtrace.functions import rules as R
 from loomtrace.functions import text as X
@@ -58,32 +61,104 @@ def contribution(tests: DataFrame) -> DataFrame:
     return t.withColumn("contribution", F.round(F.least(score, F.lit(1.0)), 6)).drop("n_ids")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; no built-in function computes it."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+_FIELDS = (("title", 0.3), ("steps", 0.5), ("expected", 0.2))
 
 
-def uniqueness(tests: DataFrame, block: int = 16) -> DataFrame:
-    """(test_id, similar_to, max_similarity, uniqueness) within a requirement.
+def _bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """No ratio of a[i] and b[j] is above [i, j]: twice the characters both have, counted with repeats, over the length."""
+    code = {c: i for i, c in enumerate(sorted(set().union(*a, *b)))}
+    count = [np.zeros((len(side), len(code)), np.int32) for side in (a, b)]
+    for side, m in zip((a, b), count, strict=True):
+        for i, text in enumerate(side):
+            for c, k in Counter(text).items():
+                m[i, code[c]] = k
+    length = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+    shared = np.array([np.minimum(row, count[1]).sum(1) for row in count[0]]).reshape(len(a), len(b))
+    return np.where(length == 0, 1.0, 2.0 * shared / np.maximum(length, 1))
 
-    A test is compared with its next ``block`` neighbours in the order of titles rather than with all tests of
-    its requirement, which may hold a third of all rows; equal titles are next to each other.
+
+class _Ratios:
+    """Ratios of one field within a group; the analysis of the second text and repeated pairs are kept."""
+
+    def __init__(self):
+        self.second, self.known = {}, {}
+
+    def __call__(self, a: str, b: str) -> float:
+        if (r := self.known.get((a, b))) is None:
+            m = self.second.get(b)
+            if m is None:
+                m = self.second[b] = difflib.SequenceMatcher(None, "", b)
+            m.set_seq1(a)
+            r = self.known[a, b] = m.ratio()
+        return r
+
+
+def _best_partners(a: list[dict], b: list[dict], ratios: dict[str, _Ratios]) -> Iterator[tuple[str, str, float]]:
+    """(test_id, o_test_id, sim): for each test of ``a`` its most similar other test of ``b``, exactly.
+
+    Candidates come in the order of their upper bound; one is left out only where its bound is below the best so far by more than rounding can hide.
+    """
+    bound = {f: _bounds([x[f] for x in a], [x[f] for x in b]) for f, _ in _FIELDS}
+    total = sum(w * bound[f] for f, w in _FIELDS)
+    for i, x in enumerate(a):
+        best = None
+        for j in np.argsort(-total[i], kind="stable"):
+            if best is not None and total[i, j] < best[0] - 2e-6:
+                break
+            y, sim = b[j], total[i, j]
+            if y["test_id"] == x["test_id"]:
+                continue
+            parts = {f: bound[f][i, j] for f, _ in _FIELDS}
+            for f in ("title", "expected", "steps"):
+                parts[f] = ratios[f](x[f], y[f])
+                sim = sum(w * parts[k] for k, w in _FIELDS)
+                if best is not None and sim < best[0] - 2e-6:
+                    break
+            else:
+                best = max(best or (-1.0, ""), (round(float(sim), 6), y["test_id"]))
+        if best is not None:
+            yield x["test_id"], best[1], best[0]
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by requirement and pair of blocks; each pair is compared in both directions."""
+    rows = (r for batch in batches for r in batch.to_pylist())
+    out = []
+    for (_, lo, hi), group in itertools.groupby(rows, key=lambda r: (r["requirement_id"], r["lo"], r["hi"])):
+        sides, ratios = {lo: [], hi: []}, {f: _Ratios() for f, _ in _FIELDS}
+        for r in group:
+            sides[r["own"]].append(r)
+        for x, y in {(lo, hi), (hi, lo)}:
+            if sides[x] and sides[y]:
+                out.extend(_best_partners(sides[x], sides[y], ratios))
+        if len(out) > 4096:
+            yield _batch(out)
+            out = []
+    yield _batch(out)
+
+
+def _batch(out: list[tuple[str, str, float]]) -> pa.RecordBatch:
+    a, b, s = zip(*out, strict=True) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], ["test_id", "o_test_id", "sim"])
+
+
+def uniqueness(tests: DataFrame, rows_per_block: int = 256) -> DataFrame:
+    """(test_id, similar_to, max_similarity, uniqueness) within a requirement, over all its other tests.
+
+    The similarity is that of the test to the other one; a ratio may differ the other way round. A requirement may
+    hold a third of all rows: its tests are split by hash into blocks, and each pair of blocks is a unit of work.
     """
     t = tests.where("test_id is not null").select(
         "test_id", F.coalesce("requirement_id", F.lit("")).alias("requirement_id"), F.lower(F.coalesce("test_title", F.lit(""))).alias("title"), _steps().alias("steps"),
         F.lower(F.coalesce("expected_result", F.lit(""))).alias("expected"),
     ).dropDuplicates(["test_id"])
-    w = Window.partitionBy("requirement_id").orderBy("title", "steps", "test_id")
-    n = t.withColumn("i", F.row_number().over(w))
-    near = n.select("requirement_id", "test_id", "title", "steps", "expected", F.explode(F.sequence(F.col("i") + 1, F.col("i") + block)).alias("i"))
-    b = n.select("requirement_id", "i", *[F.col(c).alias(f"o_{c}") for c in ("test_id", "title", "steps", "expected")])
-    s = near.join(b, ["requirement_id", "i"]).select(
-        "test_id", "o_test_id", F.round(0.3 * sequence_ratio("title", "o_title") + 0.5 * sequence_ratio("steps", "o_steps") + 0.2 * sequence_ratio("expected", "o_expected"), 6).alias("sim")
-    )
-    both = s.unionByName(s.select(F.col("o_test_id").alias("test_id"), F.col("test_id").alias("o_test_id"), "sim"))
-    best = both.groupBy("test_id").agg(F.max("sim").alias("m"), F.max_by("o_test_id", F.struct("sim", "o_test_id")).alias("similar_to"))
-    return t.select("test_id").join(best, "test_id", "left").select("test_id", "similar_to", F.coalesce("m", F.lit(0.0)).alias("max_similarity"), (1 - F.coalesce("m", F.lit(0.0))).alias("uniqueness"))
+    n = t.groupBy("requirement_id").agg(F.count("*").alias("n")).where("n > 1").select("requirement_id", F.ceil(F.col("n") / rows_per_block).cast("int").alias("blocks"))
+    own = t.join(n, "requirement_id").withColumn("own", F.pmod(F.xxhash64("test_id"), F.col("blocks")).cast("int"))
+    pairs = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "k"), "hi": F.greatest("own", "k")}).drop("k", "blocks")
+    pairs = pairs.repartition(int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "requirement_id", "lo", "hi").sortWithinPartitions("requirement_id", "lo", "hi")
+    best = pairs.mapInArrow(_compare_blocks, "test_id string, o_test_id string, sim double").groupBy("test_id").agg(F.max(F.struct("sim", "o_test_id")).alias("m"))
+    sim = F.coalesce("m.sim", F.lit(0.0))
+    return t.select("test_id").join(best, "test_id", "left").select("test_id", F.col("m.o_test_id").alias("similar_to"), sim.alias("max_similarity"), (1 - sim).alias("uniqueness"))
 
 
 def confidence(scored: DataFrame, uniqueness_col: Column | None = None) -> DataFrame:
