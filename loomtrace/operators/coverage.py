@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def dependencies(requirements: DataFrame) -> DataFrame:
     return d.where("dep is not null and dep not in ('', 'NONE', 'N/A', 'NA') and dep <> req_id").distinct()
 
 
-def inferred(deps: DataFrame, satisfied: DataFrame, rounds: int = 64) -> DataFrame:
+def inferred(deps: DataFrame, satisfied: DataFrame) -> DataFrame:
     """(req_id, round): requirements that are satisfied (round 0), or all of whose dependencies are, transitively.
 
     A least fixpoint: requirements in a cycle that nothing outside satisfies never come in. Each round joins
@@ -69,7 +71,7 @@ def inferred(deps: DataFrame, satisfied: DataFrame, rounds: int = 64) -> DataFra
     need = materialize(open_.groupBy("req_id").agg(F.count("*").alias("need")), "need")
     have = None
     fresh = done
-    for r in range(1, rounds + 1):
+    for r in itertools.count(1):
         hits = open_.join(fresh.select(F.col("req_id").alias("dep")), "dep", "left_semi").groupBy("req_id").agg(F.count("*").alias("got"))
         have = hits if have is None else have.unionByName(hits).groupBy("req_id").agg(F.sum("got").alias("got"))
         have = materialize(have, "have")
@@ -78,6 +80,8 @@ def inferred(deps: DataFrame, satisfied: DataFrame, rounds: int = 64) -> DataFra
         if fresh.limit(1).count() == 0:
             break
         done = done.unionByName(fresh)
+        if r % 16 == 0:  # a long chain of dependencies does not become a long plan
+            done = materialize(done, "satisfied")
     return done
 
 
