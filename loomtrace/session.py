@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -38,21 +39,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    a folder of this machine is chosen and remembered in the session.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and everything runs in this one
+    process, as in local tests, a folder of this machine is chosen and remembered in the session; on a cluster
+    each executor would write to a disk of its own, so there an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         d = "file://" + os.path.join(tempfile.gettempdir(), "loomtrace-shared")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtrace/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
