@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's published splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNIT = re.compile(r"\s*\S+")
+# White space as the tokenizer sees it: unlike in this language the four separators 1c to 1f are none.
+BLANKS, VISIBLE = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+UNIT, LEAD = re.compile(f"{BLANKS}*{VISIBLE}+"), re.compile(f"{BLANKS}*")
 KEPT = 1 << 20  # units remembered per worker
 
 _encodings: dict[str, object] = {}

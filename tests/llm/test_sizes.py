@@ -175,10 +175,41 @@ def test_split(spark, range_bytes):
     assert S.split(df.where("1 = 0"), lim).count() == 0 and S.summary(S.split(df, lim)).count() == 2
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("ab .é中。\n"), max_size=300), st.integers(5, 60))
-def test_stitching(text, size):
+def pieces_by_ranges(text, caps, size, fine):
     raw = text.encode()
     n = max(1, -(-len(raw) // size))
-    parts = [(k, *S.range_table(raw[k * size : (k + 1) * size], k == 0, k == n - 1, T.VOCABULARY)) for k in range(n)]
-    assert np.array_equal(S.stitch(parts, T.VOCABULARY), S.boundary_table(text))
+    stitcher = S.Stitcher(caps, T.VOCABULARY, fine)
+    return [p for k in range(n) for p in stitcher.add(*S.range_table(raw[k * size : (k + 1) * size], k == 0, k == n - 1, T.VOCABULARY, fine), k == n - 1)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab1 .'-é中。\n\x1c\u3000😀"), max_size=300), st.integers(5, 60), st.integers(16, 40), st.integers(0, 30), st.sampled_from([1, 8]))
+def test_ranges_change_nothing(text, size, limit, overlap, fine):
+    caps = [("a", limit, overlap), ("b", 3 * limit, 0)]
+    whole = sorted(pieces_by_ranges(text, caps, 1 << 30, fine))
+    assert whole == sorted(pieces_by_ranges(text, caps, size, fine))
+    enc, raw = T.encoding().encode_ordinary, text.encode()
+    for name, _, a, b, n, repeated in whole:
+        assert n == len(enc(raw[a:b].decode())) <= dict((c[0], c[1]) for c in caps)[name] and repeated < n
+    for name, cap, _ in caps:
+        assert (len(enc(text)) > cap) == any(p[0] == name for p in whole)
+
+
+def test_long_words_in_ranges(spark):
+    """The result is the same in ranges of 4 KB and 16 MB, also for words that are longer than a range and a limit."""
+    r = random.Random(5)
+    word = "".join(r.choice("abcdefghij0123456789+/") for _ in range(70_000))
+    rows = [(1, word), (2, "a word " + word + " and another " + word[::-1]), (2, "the same id " * 3000), (3, "中文字" * 9000), (4, "few"), (None, word)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lim = spark.createDataFrame([("wide", "split", 32_768, 100), ("small", "split", 700, 50)], LIMITS)
+    one, other = ([tuple(x) for x in S.split(df, lim, range_bytes=b).collect()] for b in (4096, 1 << 24))
+    assert sorted(one) == sorted(other) and {x[1] for x in one} == {1, 2, 3}
+    enc = T.encoding().encode_ordinary
+    assert all(x[5] == len(enc(x[7])) <= (32_768 if x[0] == "wide" else 700) for x in one)
+    assert {x[1] for x in one if x[0] == "wide"} == {i for i, t in rows if i and len(enc(t)) > 32_768}
+
+
+def test_tiny_limits(spark):
+    df = spark.createDataFrame([(1, "one two three four five " * 5)], "doc_id long, text string")
+    got = S.split(df, spark.createDataFrame([("t", "split", 3, 1), ("none", "split", 0, 0)], LIMITS)).collect()
+    assert got and all(r["n_tokens"] <= 3 for r in got)
