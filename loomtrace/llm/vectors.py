@@ -6,8 +6,9 @@ slots of a fixed width. They are taken of a vector's soft similarities to anchor
 coordinates: on raw coordinates neighbours at cosine 0.8 part at nearly every cut. The anchors are fitted on
 a sample of at most ``MAX_ANCHORS * PER_ANCHOR`` vectors; every vector is hashed and compared.
 
-Each vector is stored in its own bucket and visits the perturbed buckets most likely to hold its
-neighbours, in the order of the estimated success (squared distance to the slots' borders). Whatever meets
+In each hash table a vector is stored in its own bucket and visits the perturbed buckets most likely to hold its
+neighbours, in the order of the estimated success (squared distance to the slots' borders). The hash grows with the
+logarithm of the number of vectors, and the number of tables with the hash, so that recall holds. What the tables give is merged. Whatever meets
 in a bucket is compared exactly, for both sides. A bucket of more than ``BLOCK`` vectors is split into
 blocks and its visitors are sent to each block, so no task grows with a crowded neighbourhood.
 
@@ -32,7 +33,8 @@ from loomtrace.session import materialize
 
 DIM = 384
 K = 5
-PROBES = 4  # buckets a vector takes part in: its own and the three likeliest others
+PROBES, MORE_PROBES = 4, 6  # buckets of a table a vector takes part in, its own and the likeliest others: with one table, with several
+ONE_TABLE, PER_TABLE = 7, 5  # a hash of more than ONE_TABLE projections has a table for every PER_TABLE of them
 WIDTH = 2.0
 TEMPERATURE = 0.05
 MAX_ANCHORS = 1024
@@ -40,7 +42,7 @@ PER_ANCHOR = 16
 TARGET = 512  # mean vectors per bucket
 BLOCK = 4096  # vectors stored together, at least
 LARGE = 1 << 16  # buckets that may be larger
-KEEP = K + 2  # kept per vector and bucket, so that ties can be broken by name later
+SLACK = 2e-6  # cosines that may be equal after rounding
 
 
 def normalise(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +110,26 @@ def fit_anchors(sample: np.ndarray, n_anchors: int, rounds: int = 4) -> np.ndarr
     return c
 
 
+def tables_of(n_projections: int) -> int:
+    """Hash tables for a hash of so many projections: a longer hash parts more neighbours, which more tables make good."""
+    return 1 if n_projections <= ONE_TABLE else -(-n_projections // PER_TABLE)
+
+
+def probes_of(tables: int) -> int:
+    """Buckets of each table that a vector takes part in: its own and the likeliest others."""
+    return PROBES if tables == 1 else MORE_PROBES
+
+
 class StableHash:
-    """p-stable hash with its probing sequence."""
+    """p-stable hash tables with their probing sequences."""
 
-    def __init__(self, anchors: np.ndarray, n_projections: int, seed: int = 7):
+    def __init__(self, anchors: np.ndarray, n_projections: int, tables: int | None = None, seed: int = 7):
         r = np.random.RandomState(seed)
-        self.anchors, self.k = anchors, n_projections
-        self.a = r.standard_normal((len(anchors), n_projections)).astype(np.float32)
-        self.b = (r.random_sample(n_projections) * WIDTH).astype(np.float32)
+        self.anchors, self.k, self.tables = anchors, n_projections, tables or tables_of(n_projections)
+        self.a = r.standard_normal((self.tables, len(anchors), n_projections)).astype(np.float32)
+        self.b = (r.random_sample((self.tables, n_projections)) * WIDTH).astype(np.float32)
         self.mult = (r.randint(1, 2**62, n_projections) | 1).astype(np.uint64)
+        self.salt = r.randint(0, 2**62, self.tables).astype(np.uint64)
         steps = list(itertools.product(range(n_projections), (0, 1)))
         sets = [(), *[(s,) for s in steps], *[(s, t) for s, t in itertools.combinations(steps, 2) if s[0] != t[0]]]
         self.moves = np.zeros((len(sets), 2 * n_projections), dtype=np.float32)
@@ -126,27 +139,30 @@ class StableHash:
                 self.moves[i, 2 * j + up] = 1
                 self.shift[i] = np.uint64((int(self.shift[i]) + (1 if up else -1) * int(self.mult[j])) % 2**64)
 
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        """(rows, n) bucket codes: the own bucket first, then by estimated success."""
+    def probes(self, x: np.ndarray, n: int | None = None) -> np.ndarray:
+        """(rows, tables, n) bucket codes: in each table the own bucket first, then by estimated success."""
+        n = min(n or probes_of(self.tables), len(self.shift))
+        out = np.zeros((len(x), self.tables, n), dtype=np.int64)
         with np.errstate(over="ignore"):
-            if not self.k:
-                return np.zeros((len(x), 1), dtype=np.int64)
             y = x @ self.anchors.T
             y = np.exp((y - y.max(axis=1, keepdims=True)) / TEMPERATURE)
             y /= np.linalg.norm(y, axis=1, keepdims=True)
-            u = (y @ self.a + self.b) / WIDTH
-            slot = np.floor(u)
-            left = (u - slot).astype(np.float32)
-            home = (slot.astype(np.int64).view(np.uint64) * self.mult).sum(axis=1, dtype=np.uint64)
-            cost = np.stack([left**2, (1 - left) ** 2], axis=2).reshape(len(x), -1) @ self.moves.T
-            n = min(n, cost.shape[1])
-            best = np.argsort(cost, axis=1, kind="stable")[:, :n]
-            return (home[:, None] + self.shift[best]).view(np.int64)
+            for t in range(self.tables):
+                u = (y @ self.a[t] + self.b[t]) / WIDTH
+                slot = np.floor(u)
+                left = (u - slot).astype(np.float32)
+                home = self.salt[t] + (slot.astype(np.int64).view(np.uint64) * self.mult).sum(axis=1, dtype=np.uint64)
+                cost = np.stack([left**2, (1 - left) ** 2], axis=2).reshape(len(x), -1) @ self.moves.T
+                best = np.argpartition(cost, n - 1, axis=1)[:, :n] if n < cost.shape[1] else np.broadcast_to(np.arange(n), cost.shape)
+                best = np.take_along_axis(best, np.take_along_axis(cost, best, axis=1).argsort(axis=1, kind="stable"), axis=1)
+                out[:, t] = (home[:, None] + self.shift[best]).view(np.int64)
+        return out
 
 
-def top_rows(s: np.ndarray, k: int) -> np.ndarray:
-    """Column positions of the k greatest of each row, unordered."""
-    return np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+def near(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all entries that are within the rounding of a row's k-th greatest: ties are broken by name later."""
+    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -1.5, dtype=s.dtype)
+    return np.nonzero(s >= np.maximum(kth - SLACK, -1.5)[:, None])
 
 
 def fit(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim: int) -> tuple[StableHash, int]:
@@ -158,13 +174,13 @@ def fit(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim: int) -> tu
     some = df.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share)
     rows = encoded(some, id_col, bytes_col, at_col, dim).where("q is not null").select("q").toArrow()
     sample = unit(unpack(rows.column(0), dim))[:size]
-    k = max(0, round(np.log2(max(n, 1) / TARGET))) if len(sample) else 0
+    k = max(0, int(np.ceil(np.log2(max(n, 1) / TARGET))))
     n_anchors = max(1, min(MAX_ANCHORS, len(sample) // PER_ANCHOR))
-    return StableHash(fit_anchors(sample, n_anchors) if k else np.zeros((1, dim), dtype=np.float32), k), n
+    return StableHash(fit_anchors(sample, n_anchors) if len(sample) else np.zeros((1, dim), dtype=np.float32), k), n
 
 
-def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n: int, dim: int, probes: int = PROBES) -> DataFrame:
-    """(a, b, cos): for every class (cid, q), the distinct ones of the ``n`` ``rows``, at least its KEEP nearest among those met, both directions."""
+def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n: int, dim: int, k: int = K, probes: int | None = None) -> DataFrame:
+    """(a, b, cos): for every class (cid, q), the distinct ones of the ``n`` ``rows``, its k nearest among those met and all that tie with the last of them, both directions."""
     sc = classes.sparkSession.sparkContext
     shared = sc.broadcast(hashing)
     # A large bucket has more than this; so there are at most LARGE of them.
@@ -174,7 +190,7 @@ def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n:
         for b in batches:
             if b.num_rows:
                 codes = shared.value.probes(unit(unpack(b.column(1), dim)), 1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes[:, 0])], ["cid", "code"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(codes)), codes.shape[1]))), pa.array(codes.ravel())], ["cid", "code"])
 
     # Distinct classes per bucket are estimated on the rows as read, by sketches: no vector moves for it.
     counted = rows.select("cid", "q").mapInArrow(home, "cid long, code long").groupBy("code").agg(F.approx_count_distinct("cid").alias("n"))
@@ -186,25 +202,28 @@ def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n:
         for b in batches:
             if b.num_rows:
                 codes = shared.value.probes(unit(unpack(b.column(1), dim)), probes)
+                home = np.zeros(codes.shape, dtype=bool)
+                home[:, :, 0] = True
+                codes = codes.reshape(len(codes), -1)
                 n_blocks = np.ones(codes.shape, dtype=np.int32)
                 if len(code):
                     at = np.searchsorted(code, codes).clip(0, len(code) - 1)
                     n_blocks = np.where(code[at] == codes, blocks[at], 1).astype(np.int32)
                 offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (codes, n_blocks)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["cid", "q", "codes", "blocks"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (codes, n_blocks, home)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["cid", "q", "codes", "blocks", "home"])
 
-    hashed = classes.select("cid", "q").mapInArrow(buckets, "cid long, q binary, codes array<long>, blocks array<int>")
-    at = hashed.select("cid", "q", F.posexplode(F.arrays_zip("codes", "blocks")).alias("probe", "z")).select(
-        "cid", "q", "probe", F.col("z.codes").alias("code"), F.col("z.blocks").alias("blocks")
+    hashed = classes.select("cid", "q").mapInArrow(buckets, "cid long, q binary, codes array<long>, blocks array<int>, home array<boolean>")
+    at = hashed.select("cid", "q", F.explode(F.arrays_zip("codes", "blocks", "home")).alias("z")).select(
+        "cid", "q", F.col("z.home").alias("home"), F.col("z.codes").alias("code"), F.col("z.blocks").alias("blocks")
     )
     own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     # In its own bucket a vector is stored in one block and visits the others; elsewhere it visits all.
     at = at.select(
-        "cid", "q", "code", "probe", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        "cid", "q", "code", "home", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     )
     at = at.select(
-        F.xxhash64("code", "block").alias("task"), "cid", "q", ((F.col("probe") == 0) & (F.col("block") == F.col("own"))).alias("stored")
+        F.xxhash64("code", "block").alias("task"), "cid", "q", (F.col("home") & (F.col("block") == F.col("own"))).alias("stored")
     )
 
     def compare(_: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -214,25 +233,29 @@ def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n:
         cid, x = t.column("cid").to_numpy(), unit(unpack(t.column("q"), dim))
         base, base_id = x[stored], cid[stored]
         out = []
-        back_s: list[np.ndarray] = []
-        back_i: list[np.ndarray] = []
+        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = max(1, (1 << 22) // len(base))
         for lo in range(0, len(x), step):
             s = x[lo : lo + step] @ base.T
-            s[cid[lo : lo + step, None] == base_id[None, :]] = -2
-            c = top_rows(s, KEEP)
-            v = np.take_along_axis(s, c, axis=1)
-            out.append((np.repeat(cid[lo : lo + step], c.shape[1]), base_id[c].ravel(), v.ravel()))
+            ids = cid[lo : lo + step]
+            s[ids[:, None] == base_id[None, :]] = -2
+            i, j = near(s, k)
+            out.append((ids[i], base_id[j], s[i, j]))
             visit = ~stored[lo : lo + step]
             if visit.any():  # what a visitor finds, the stored vector finds too
-                sv, iv = s[visit].T, cid[lo : lo + step][visit]
-                c = top_rows(sv, KEEP)
-                back_s.append(np.take_along_axis(sv, c, axis=1))
-                back_i.append(iv[c])
-        if back_s:
-            s, i = np.concatenate(back_s, axis=1), np.concatenate(back_i, axis=1)
-            c = top_rows(s, KEEP)
-            out.append((np.repeat(base_id, c.shape[1]), np.take_along_axis(i, c, axis=1).ravel(), np.take_along_axis(s, c, axis=1).ravel()))
+                sv, iv = s[visit].T, ids[visit]
+                i, j = near(sv, k)
+                back.append((i, iv[j], sv[i, j]))
+        if back:
+            i, who, v = (np.concatenate(z) for z in zip(*back, strict=True))
+            order = np.lexsort((-v, i))
+            i, who, v = i[order], who[order], v[order]
+            first = np.searchsorted(i, np.arange(len(base)))
+            count = np.append(first[1:], len(i)) - first
+            kth = np.full(len(base), -1.5, dtype=np.float32)
+            kth[count >= k] = v[first[count >= k] + k - 1]
+            near_by = v >= kth[i] - SLACK
+            out.append((base_id[i[near_by]], who[near_by], v[near_by]))
         a, b, v = (np.concatenate(z) for z in zip(*out, strict=True))
         ok = v > -1.5
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(v[ok].astype(np.float32))], ["a", "b", "cos"])
@@ -240,7 +263,7 @@ def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n:
     return map_groups(at, "task", compare, "a long, b long, cos float")
 
 
-def nearest(df: DataFrame, id_col: str, bytes_col: str, at_col: str, k: int = K, dim: int = DIM, probes: int = PROBES) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, bytes_col: str, at_col: str, k: int = K, dim: int = DIM, probes: int | None = None) -> DataFrame:
     """(node_id, neighbour, cos, rank): the k most similar other nodes of each node."""
     hashing, n = fit(df, id_col, bytes_col, at_col, dim)
     rows = encoded(df, id_col, bytes_col, at_col, dim)
@@ -253,7 +276,7 @@ def nearest(df: DataFrame, id_col: str, bytes_col: str, at_col: str, k: int = K,
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("node_id"))).where(F.col("r") <= k + 1)
     names = first.groupBy("cid").agg(F.array_sort(F.collect_list("node_id")).alias("names"))
     # One exchange, by a, serves the distinct pairs and the ranking; ties at the last place are kept for the names.
-    met = nearest_classes(classes, vectors, hashing, n, dim, probes).repartition("a").groupBy("a", "b").agg(F.round(F.max("cos").cast("double"), 6).alias("cos"))
+    met = nearest_classes(classes, vectors, hashing, n, dim, k, probes).repartition("a").groupBy("a", "b").agg(F.round(F.max("cos").cast("double"), 6).alias("cos"))
     best = met.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cos")))).where(F.col("r") <= k)
     others = best.join(names.withColumnRenamed("cid", "b"), "b").select(F.col("a").alias("cid"), F.explode("names").alias("neighbour"), "cos")
     own = names.select("cid", F.explode("names").alias("neighbour"), F.lit(1.0).alias("cos"))

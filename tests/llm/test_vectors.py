@@ -64,6 +64,34 @@ def test_probe_order():
     x = r.standard_normal((50, 384)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     h = V.StableHash(x[:20], 5)
-    p = h.probes(x, 4)
-    assert p.shape == (50, 4) and all(len(set(row)) == 4 for row in p.tolist())
-    assert (p[:, :1] == h.probes(x, 1)).all()
+    p = h.probes(x, 4)[:, 0]
+    assert h.tables == 1 and p.shape == (50, 4) and all(len(set(row)) == 4 for row in p.tolist())
+    assert (p[:, :1] == h.probes(x, 1)[:, 0]).all()
+    wide = V.StableHash(x[:20], 21)
+    assert wide.tables == 5 and wide.probes(x).shape == (50, 5, 6)
+    assert len(np.unique(wide.probes(x)[0])) == 30  # tables share no bucket
+
+
+def test_ties_beyond_the_rounding_are_kept():
+    s = np.array([[0.9, 0.8, 0.8 - 1e-6, 0.8 + 1e-6, 0.7, -2.0], [-2.0] * 6], dtype=np.float32)
+    i, j = V.near(s, 2)
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 0), (0, 1), (0, 2), (0, 3)]
+    assert len(V.near(s[:1, :2], 5)[0]) == 2
+
+
+def test_recall_of_long_hashes():
+    """Hashes as long as some million and a thousand million vectors need, on clusters: pairs that meet against brute force."""
+    r = np.random.RandomState(3)
+    n, centres = 3000, r.standard_normal((150, 384))
+    x = (centres[r.randint(0, 150, n)] + 0.7 * r.standard_normal((n, 384))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    a, b = np.repeat(np.arange(n), 5), np.argpartition(-s, 5, axis=1)[:, :5].ravel()
+    anchors = V.fit_anchors(x, n // V.PER_ANCHOR)
+    for k in (7, 12, 21):
+        p = V.StableHash(anchors, k).probes(x)
+        met = np.zeros(len(a), dtype=bool)
+        for t in range(p.shape[1]):
+            met |= (p[a, t] == p[b, t, :1]).any(axis=1) | (p[b, t] == p[a, t, :1]).any(axis=1)
+        assert met.mean() >= 0.9
