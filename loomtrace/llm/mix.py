@@ -109,22 +109,30 @@ def target_map(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["s"]: (r["p"], r["r"]) for r in rows if r["s"] is not None}
 
 
-def mixture(sized: DataFrame, mix_targets: DataFrame, total: float | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, src, n_tokens, repeat): one row per use of a text. ``sized`` holds id, source and n_tokens."""
-    sized = sized.select(id_col, source_name("source").alias("src"), "n_tokens").where("n_tokens > 0")
-    uses, _ = thresholds(sized, target_map(mix_targets), total, id_col)
+def taken(df: DataFrame, uses: dict[str, tuple[int, int]], source: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that are in a mixture, with ``src`` and ``uses``: a filter on id and source, nothing moves."""
     h = _hash(id_col)
+    src = source_name(source)
     n = F.lit(0)
     for s, (whole, below) in sorted(uses.items()):
-        n = F.when(F.col("src") == s, F.lit(whole) + (h < F.lit(below)).cast("int")).otherwise(n)
-    return (
-        sized.withColumn("uses", n).where("uses > 0")
-        .select(id_col, "src", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("repeat"))
-    )
+        n = F.when(src == s, F.lit(whole) + (h < F.lit(below)).cast("int")).otherwise(n)
+    return df.withColumns({"src": src, "uses": n}).where("uses > 0")
+
+
+def named(sized: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, src, n_tokens) of the texts that a mixture can use."""
+    return sized.select(id_col, source_name("source").alias("src"), "n_tokens").where("n_tokens > 0")
+
+
+def mixture(sized: DataFrame, mix_targets: DataFrame, total: float | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(id, src, n_tokens, repeat): one row per use of a text. ``sized`` holds id, source and n_tokens."""
+    uses, _ = thresholds(named(sized, id_col), target_map(mix_targets), total, id_col)
+    used = taken(sized.select(id_col, "source", "n_tokens").where("n_tokens > 0"), uses, "source", id_col)
+    return used.select(id_col, "src", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("repeat"))
 
 
 def report(sized: DataFrame, mix: DataFrame, mix_targets: DataFrame) -> DataFrame:
-    """(src, target_share, max_repeats, available_tokens, mixed_tokens, share, most_repeats) for every source."""
+    """(src, target_share, max_repeats, available_tokens, mixed_tokens, share, most_repeats, unused_tokens) for every source."""
     have = sized.select(source_name("source").alias("src"), "n_tokens").groupBy("src").agg(F.sum("n_tokens").alias("available_tokens"))
     got = mix.groupBy("src").agg(F.sum("n_tokens").alias("mixed_tokens"), F.max("repeat").alias("most_repeats"))
     want = mix_targets.groupBy(source_name("source").alias("src")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -134,4 +142,5 @@ def report(sized: DataFrame, mix: DataFrame, mix_targets: DataFrame) -> DataFram
         F.coalesce(all_["src"], want["src"]).alias("src"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("target_share", "max_repeats", "available_tokens", "mixed_tokens", "most_repeats")],
     )
-    return out.join(F.broadcast(whole), how="left").withColumn("share", F.col("mixed_tokens") / F.col("whole")).drop("whole")
+    unused = F.greatest(F.col("available_tokens") - F.col("mixed_tokens"), F.lit(0))
+    return out.join(F.broadcast(whole), how="left").withColumns({"share": F.col("mixed_tokens") / F.col("whole"), "unused_tokens": unused}).drop("whole")

@@ -4,7 +4,8 @@ Only a text's size decides where it goes, and sizes are whole numbers up to the
 solved on the histogram of sizes, which is bounded by the capacity however many texts there are: first the
 Martello-Toth reduction fixes sets that provably dominate every alternative, then the rest goes best-fit
 decreasing, both in runs of equal containers. Texts are matched to the solution by their rank among those
-of equal size, which is counted in salted parts, so a size that a third of all texts share is no hot spot.
+of equal size. A size of more than ``PER_PART`` texts is ranked in as many parts as that takes, so one that a third
+of all texts share is no hot spot; only the counts per size, and per part of such a size, come to the driver.
 
 Defined results: a text larger than the capacity is cut into full pieces and a last smaller one; a text of 0
 tokens (null, empty) takes no container (container_id null); capacities below 1 are left out.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Pattern = tuple[tuple[int, int], ...]  # (size, how many in one container)...
-SALTS = 64
+PER_PART = 100_000  # texts of equal size that one task ranks
 
 
 def reduce_dominated(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -158,20 +159,30 @@ def pieces(sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id") -> DataF
 
 def pack(sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(limit_name, id, piece, start_token, tokens, container_id) for each capacity of ``limits``."""
+    spark = sizes.sparkSession
     items = pieces(sizes, limits, id_col)
-    salt = F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS))
-    counted = items.where("tokens > 0").groupBy("limit_name", "capacity", "tokens", salt.alias("salt")).count()
-    # Bounded by the capacities: one row per size and salt.
-    rows = counted.collect()
+    # Bounded by the capacities: one row per size.
+    rows = items.where("tokens > 0").groupBy("limit_name", "capacity", "tokens").count().collect()
     histograms: dict[tuple[str, int], dict[int, int]] = {}
-    parts: dict[tuple[str, int], np.ndarray] = {}
+    hot: list[tuple[str, int, int]] = []
     for r in rows:
-        h = histograms.setdefault((r["limit_name"], r["capacity"]), {})
-        h[r["tokens"]] = h.get(r["tokens"], 0) + r["count"]
-        parts.setdefault((r["limit_name"], r["tokens"]), np.zeros(SALTS, dtype=np.int64))[r["salt"]] = r["count"]
+        histograms.setdefault((r["limit_name"], r["capacity"]), {})[r["tokens"]] = r["count"]
+        if r["count"] > PER_PART:
+            hot.append((r["limit_name"], r["tokens"], -(-r["count"] // PER_PART)))
+    # At most one row per PER_PART texts, and never more than sizes.
+    parts = F.broadcast(spark.createDataFrame(hot, "limit_name string, tokens long, n_parts long"))
+    part = F.coalesce(F.pmod(F.xxhash64(id_col, "piece"), F.col("n_parts")), F.lit(0))
+    items = items.join(parts, ["limit_name", "tokens"], "left").withColumn("part", part)
+    counts: dict[tuple[str, int], dict[int, int]] = {}
+    if hot:
+        for r in items.where("n_parts is not null").groupBy("limit_name", "tokens", "part").count().collect():
+            counts.setdefault((r["limit_name"], r["tokens"]), {})[r["part"]] = r["count"]
+    offsets = {}
+    for key, c in counts.items():
+        v = np.array([c.get(i, 0) for i in range(max(c) + 1)], dtype=np.int64)
+        offsets[key] = np.cumsum(v) - v
     plan = {name: slots(solve(h, cap)) for (name, cap), h in histograms.items()}
-    offsets = {k: np.cumsum(v) - v for k, v in parts.items()}
-    shared = sizes.sparkSession.sparkContext.broadcast((plan, offsets))
+    shared = spark.sparkContext.broadcast((plan, offsets))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, offsets = shared.value
@@ -179,25 +190,26 @@ def pack(sizes: DataFrame, limits: DataFrame, id_col: str = "doc_id") -> DataFra
             if not b.num_rows:
                 continue
             name = np.array(b.column(0).to_pylist(), dtype=object)
-            tokens, salt, local = (b.column(i).to_numpy() for i in (4, 5, 6))
+            tokens, part, local = (b.column(i).to_numpy() for i in (4, 5, 6))
             out = np.zeros(b.num_rows, dtype=np.int64)
-            # Rows come sorted by name, size and salt: one lookup per run of equal size.
+            # Rows come sorted by name, size and part: one lookup per run of equal size.
             cut = np.flatnonzero((tokens[1:] != tokens[:-1]) | (name[1:] != name[:-1])) + 1
             for lo, hi in zip([0, *cut], [*cut, len(tokens)], strict=True):
                 if tokens[lo] <= 0:
                     continue
                 start, first, each = plan[name[lo]][tokens[lo]]
-                rank = offsets[name[lo], tokens[lo]][salt[lo:hi]] + local[lo:hi] - 1
+                before = offsets.get((name[lo], tokens[lo]))
+                rank = local[lo:hi] - 1 + (0 if before is None else before[part[lo:hi]])
                 run = np.searchsorted(start, rank, side="right") - 1
                 out[lo:hi] = first[run] + (rank - start[run]) // each[run]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:5], pa.array(out, mask=tokens <= 0)], ["limit_name", id_col, "piece", "start_token", "tokens", "container_id"]
             )
 
-    w = Window.partitionBy("limit_name", "tokens", "salt").orderBy(id_col, "piece")
-    ranked = items.withColumn("salt", salt).withColumn("local", F.row_number().over(w).cast("long"))
+    w = Window.partitionBy("limit_name", "tokens", "part").orderBy(id_col, "piece")
+    ranked = items.withColumn("local", F.row_number().over(w).cast("long"))
     kind = dict(items.dtypes)[id_col]
-    return ranked.select("limit_name", id_col, "piece", "start_token", "tokens", "salt", "local").mapInArrow(
+    return ranked.select("limit_name", id_col, "piece", "start_token", "tokens", "part", "local").mapInArrow(
         assign, f"limit_name string, {id_col} {kind}, piece int, start_token long, tokens long, container_id long"
     )
 

@@ -79,9 +79,12 @@ def _sized(spark, d):
 
 
 def p8_mixture(spark, d):
-    docs = table(spark, d, "documents")
-    mixed = mix.mixture(_sized(spark, d), table(spark, d, "mix_targets"))
-    return mixed.join(docs.select("doc_id", "text"), "doc_id")
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    uses, _ = mix.thresholds(mix.named(_sized(spark, d)), mix.target_map(targets))
+    used = mix.taken(docs.select("doc_id", "source", "text").where("text <> ''"), uses)
+    # Only the texts that are used are counted again: cheaper than a join that would move every text.
+    counted = tokens.with_token_counts(used, ["doc_id", "src", "uses", "text"])
+    return counted.select("doc_id", "src", "n_tokens", F.explode(F.sequence(F.lit(1), "uses")).alias("repeat"), "text")
 
 
 def p8_report(spark, d):
@@ -89,6 +92,14 @@ def p8_report(spark, d):
     return mix.report(sized, mix.mixture(sized, targets), targets)
 
 
+def p8_report_all(spark, d):
+    """The mixture as large as all texts of the targeted sources: small sources are repeated up to their caps and fall short."""
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    known = list(mix.target_map(targets))
+    total = mix.named(sized).where(F.col("src").isin(known)).agg(F.sum("n_tokens")).first()[0]
+    return mix.report(sized, mix.mixture(sized, targets, total), targets)
+
+
 def p9_pieces(spark, d):
     return split.split(table(spark, d, "documents"), _limits(spark, d, "split"))
 
@@ -109,8 +120,4 @@ ORACLE = {
     + """select distinct least(a.test_id, b.test_id) test_a, greatest(a.test_id, b.test_id) test_b
   from w a join w b on a.test_id < b.test_id
   where len(a.ws) > 0 and len(b.ws) > 0 and len(list_intersect(a.ws, b.ws)) >= 0.6 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))""",
-    "p2_found": """
-with l as (select node_id, created_at, embedding_bytes, row_number() over (partition by node_id order by created_at desc) r from node_embeddings)
-select 'x' node_a, 'y' node_b from l where false""",
 }
-del ORACLE["p2_found"]

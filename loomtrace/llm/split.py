@@ -24,6 +24,7 @@ more tokens than the limit.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -49,7 +50,7 @@ _BLANK_LINE = re.compile(r"\n[^\S\n]*\n|\r\n?[^\S\r\n]*\r")
 
 
 class Units(dict):
-    """unit -> its parts as (bytes, tokens, mark).
+    """unit -> its parts, each as one number: bytes, tokens and mark in the places that PART gives them.
 
     A unit of at most ``fine`` tokens is one part. Others are cut at CJK sentence ends, between the tokenizer's own
     words, and inside words between tokens, where that is between characters; not before an apostrophe, which at the
@@ -78,7 +79,7 @@ class Units(dict):
                 whole, whole_n = size, n
         yield size, n
 
-    def __missing__(self, unit: str) -> tuple[tuple[int, int, int], ...]:
+    def __missing__(self, unit: str) -> tuple[int, ...]:
         if len(self) > 1 << 20:
             self.clear()
         lead = LEAD.match(unit)[0]
@@ -97,7 +98,7 @@ class Units(dict):
                 t = self.encode(w)
                 runs += self.inside(w, t) if len(t) > self.fine else [(len(w.encode()), len(t))]
             out += [(b, k, (strength if j == 0 else NONE) | ends * (j == len(runs) - 1)) for j, (b, k) in enumerate(runs)]
-        kept = tuple(out)
+        kept = tuple(b | n << 16 | mark << 24 for b, n, mark in out)
         if len(unit) < 64:
             self[unit] = kept
         return kept
@@ -109,7 +110,7 @@ _known: dict[tuple[str, int], Units] = {}
 def boundary_table(text: str, path: str = VOCABULARY, fine: int = FINE) -> np.ndarray:
     """The parts of a text as a PART array."""
     known = _known.get((path, fine)) or _known.setdefault((path, fine), Units(path, fine))
-    return np.array([p for u in units_of(text) for p in known[u]], dtype=PART)
+    return np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, units_of(text))), dtype="<u4").view(PART)
 
 
 def range_table(raw: bytes, first: bool, last: bool, path: str, fine: int = FINE) -> tuple[bytes, bytes, bytes, bool]:

@@ -77,13 +77,14 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
 
 
 def with_token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """The columns ``keep`` and ``n_tokens``; the text itself goes no further than the worker."""
+    """The columns ``keep`` and ``n_tokens``; unless it is among them the text goes no further than the worker."""
     fields = df.select(*keep).schema
+    sent = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = pa.array([count_tokens(t.as_py(), path) for t in b.column(b.num_columns - 1)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*keep, "n_tokens"])
+            n = pa.array([count_tokens(t.as_py(), path) for t in b.column(sent)], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], n], [*keep, "n_tokens"])
 
     out = type(fields)([*fields.fields])
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, out.add("n_tokens", "long"))
+    return df.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias("__text")])).mapInArrow(run, out.add("n_tokens", "long"))

@@ -81,7 +81,9 @@ def test_packing_large():
     assert check(h, 512) <= 1.01 * -(-sum(s * n for s, n in h.items()) // 512)
 
 
-def test_assignment(spark, monkeypatch):
+@pytest.mark.parametrize("per_part", [100_000, 40])
+def test_assignment(spark, monkeypatch, per_part):
+    monkeypatch.setattr(P, "PER_PART", per_part)  # sizes of many texts are ranked in parts
     rows = [(i, 7) for i in range(400)] + [(400 + i, i % 23) for i in range(300)] + [(999, 65)]
     sizes = spark.createDataFrame(rows, "doc_id long, n_tokens long").withColumn("tokens", F.lit(1)).withColumn("capacity", F.lit("clash"))
     lim = spark.createDataFrame([("s", "pack", 30, 0), ("m", "pack", 100, 0), ("bad", "pack", 0, 0)], LIMITS)
@@ -120,6 +122,10 @@ def test_mixture(spark):
     r = {x["src"]: x for x in M.report(df, M.mixture(df, t), t).collect()}
     for s, p in (("big", 4 / 9), ("mid", 3 / 9), ("small", 2 / 9)):
         assert abs(r[s]["share"] - p) < 0.002 and r[s]["most_repeats"] <= r[s]["max_repeats"]
+    assert all(x["unused_tokens"] == max(0, x["available_tokens"] - x["mixed_tokens"]) for x in r.values())
+    uses, _ = M.thresholds(M.named(df), M.target_map(t))
+    filtered = M.taken(df, uses).where("n_tokens > 0").select("doc_id", F.explode(F.sequence(F.lit(1), "uses")).alias("repeat"))
+    assert sorted(filtered.collect()) == sorted(M.mixture(df, t).select("doc_id", "repeat").collect())
     assert r["absent"]["share"] == 0 and r[None]["mixed_tokens"] == 0 and r["other"]["target_share"] == 0
     some = {(x["doc_id"], x["repeat"]) for x in M.mixture(df, t, total=20_000).collect()}
     more = {(x["doc_id"], x["repeat"]) for x in M.mixture(df, t, total=40_000).collect()}
