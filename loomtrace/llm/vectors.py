@@ -33,13 +33,13 @@ from loomtrace.session import materialize
 
 DIM = 384
 K = 5
-PROBES, MORE_PROBES = 4, 6  # buckets of a table a vector takes part in, its own and the likeliest others: with one table, with several
+PROBES = 4  # buckets of a table a vector takes part in: its own and the three likeliest others
 ONE_TABLE, PER_TABLE = 7, 5  # a hash of more than ONE_TABLE projections has a table for every PER_TABLE of them
 WIDTH = 2.0
 TEMPERATURE = 0.05
 MAX_ANCHORS = 1024
 PER_ANCHOR = 16
-TARGET = 512  # mean vectors per bucket
+TARGET = 1024  # mean vectors per bucket
 BLOCK = 4096  # vectors stored together, at least
 LARGE = 1 << 16  # buckets that may be larger
 SLACK = 2e-6  # cosines that may be equal after rounding
@@ -111,13 +111,11 @@ def fit_anchors(sample: np.ndarray, n_anchors: int, rounds: int = 4) -> np.ndarr
 
 
 def tables_of(n_projections: int) -> int:
-    """Hash tables for a hash of so many projections: a longer hash parts more neighbours, which more tables make good."""
-    return 1 if n_projections <= ONE_TABLE else -(-n_projections // PER_TABLE)
-
+    """Hash tables for a hash of so many projections: a longer hash parts more neighbours, which more tables make good.
 
-def probes_of(tables: int) -> int:
-    """Buckets of each table that a vector takes part in: its own and the likeliest others."""
-    return PROBES if tables == 1 else MORE_PROBES
+    Every table costs PROBES more copies of each vector in the shuffle.
+    """
+    return 1 if n_projections <= ONE_TABLE else -(-n_projections // PER_TABLE)
 
 
 class StableHash:
@@ -141,7 +139,7 @@ class StableHash:
 
     def probes(self, x: np.ndarray, n: int | None = None) -> np.ndarray:
         """(rows, tables, n) bucket codes: in each table the own bucket first, then by estimated success."""
-        n = min(n or probes_of(self.tables), len(self.shift))
+        n = min(n or PROBES, len(self.shift))
         out = np.zeros((len(x), self.tables, n), dtype=np.int64)
         with np.errstate(over="ignore"):
             y = x @ self.anchors.T
@@ -174,7 +172,7 @@ def fit(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim: int) -> tu
     some = df.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share)
     rows = encoded(some, id_col, bytes_col, at_col, dim).where("q is not null").select("q").toArrow()
     sample = unit(unpack(rows.column(0), dim))[:size]
-    k = max(0, int(np.ceil(np.log2(max(n, 1) / TARGET))))
+    k = max(1, int(np.ceil(np.log2(max(n, 1) / TARGET))))
     n_anchors = max(1, min(MAX_ANCHORS, len(sample) // PER_ANCHOR))
     return StableHash(fit_anchors(sample, n_anchors) if len(sample) else np.zeros((1, dim), dtype=np.float32), k), n
 
