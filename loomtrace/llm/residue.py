@@ -1,17 +1,18 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Labelled exemplars (residue of four kinds, and content that only talks about such things) are held in an
-inverted index over their words. For every passage the exemplars that share a word with it are retrieved, and
-the TF-IDF containment of the passage's best window in the exemplar is computed: the share of the window's
-weight that the exemplar covers, and the share of the exemplar's weight that the window holds. A passage that
-residue exemplars cover highly, and more than content exemplars do, is residue. The weights come from the
-word counts of all passages of the table; the exemplars are a fixed list, so the index is bounded.
+Labelled exemplars (see ``exemplars``; any table of texts and labels can take their place) are held in an inverted
+index over their words. A text's passages are its JSON string values, its sentences and its lines. For every passage the
+exemplars that share a heavy word with it are retrieved, and the TF-IDF containment is computed both ways: the share of
+the passage's weight that exemplars cover, and the share of the exemplar's weight that is there. A passage that
+residue exemplars cover highly, and more than content exemplars do, is residue; so is one that holds a window of an
+exemplar's length for which that is so, unless the words around it only report what the window says. Weights
+come from the word counts of all passages of the table.
 
 What an unfilled template part looks like ({{name}}, <%= name %>, [insert name here], %name%, ____ and so on)
 is a word of its own, as are the many spellings of "enable scripts" and numbers, so one exemplar stands for all.
 
 Defined results: null and blank fields are no cases; JSON is judged by its string values, not its keys; a
-field is a case if one of its steps, values or sentences is.
+field is a case if one of its steps, values, sentences or lines is; without residue exemplars nothing is.
 """
 
 from __future__ import annotations
@@ -25,15 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.llm.exemplars import BRACKET, DOTS, LABELLED, PART
+from loomtrace.session import materialize
+
 BUCKETS = 1 << 16
 COVERAGE = 0.7  # least share of a passage that residue must cover
 RECALL = 0.55  # least share of the exemplar that must be there
+WINDOW = 0.8  # the same two shares of a window inside a longer passage
+HALF = 0.5  # least share that one exemplar must cover where the words of others cover the rest
+SHORT = 4  # words of an exemplar that may be found in such a window
+RESIDUE = ("phrase", "bag", "part")  # labels of residue
+MAX_EXEMPLARS = 100_000  # the index is held by every worker
 SLOT = 4  # words that an open place of an exemplar may hold
 
-PART = "⌂"  # an unfilled template part
-BRACKET = "⊏"  # a lower-case phrase in square brackets
-DOTS = "…"
-
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[ .\-][A-Za-z0-9_]+)*"
 _TAGS = r"html|head|body|title|center|h[1-6]|p|b|i|u|em|strong|a|br|hr|div|span|script|noscript|style|ul|ol|li|table|tr|td|th|code|pre|img|input|form|button|meta|link"
 _PART = re.compile(
@@ -47,11 +52,12 @@ _PART = re.compile(
 )
 _BRACKET = re.compile(r"\[[a-z][a-z ]*\]")
 _TAG = re.compile(r"</?(?:" + _TAGS + r"|!--)[^>]*>", re.I)
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[⌂⊏…]")
-_SCRIPT = re.compile(r"\b(?:client[- ]side |active )?(?:java ?script|js|scripts?|scripting)\b", re.I)
+_CJK = "\u3040-\u30ff\u3400-\u9fff"  # characters that are words of their own
+_WORD = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+(?:['’][^\W_]+)?|[⌂⊏…]")
+_SCRIPT = re.compile(r"(?<![A-Za-z0-9_])(?:client[- ]side |active )?(?:java ?script|js|scripts?|scripting)(?![A-Za-z0-9_])", re.I)
 _ENABLE = re.compile(r"\b(?:enabled?|activated?|allow(?:ed)?|unblock(?:ed)?|(?:switch|turn)(?:ed)? on)\b", re.I)
 _NUMBER = re.compile(r"(?=[^\W_]*\d)[^\W_]+")
-_SENTENCES = re.compile(r"(?<=[.!?])\s+")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+")
 
 
 def words_of(passage: str) -> list[str]:
@@ -67,83 +73,31 @@ def words_of(passage: str) -> list[str]:
     return [_NUMBER.sub("0", w) for w in _WORD.findall(s)]
 
 
-#: What residue says. An underscore is an open place of a few words. 'part' may stand anywhere.
-ERRORS = [
-    *(f"_ {p}" for p in (
-        "could not process your request", "is currently overloaded", "is temporarily unavailable", "did not answer in time", "refused the connection",
-        "returned an invalid response", "encountered an internal problem", "is down for maintenance",
-    )),
-    "sorry", "oops", "we're sorry something went wrong", "something went wrong", "an unexpected error occurred while processing your request",
-    "please try again later", "try again in 0 minutes", "retry in 0 seconds", "error code 0", "go back to the home page",
-    "if the problem persists contact the administrator", "trace id 0", "incident 0 has been logged", "reference 0",
-    "error generation request timed out after 0 s", "i'm sorry but the model is currently overloaded with other requests",
-    "too many requests from your network slow down", "access denied", "you do not have permission to view this resource",
-    "your session has expired", "please sign in again to continue", "http status 0 _", "the server refused to fulfil the request",
-    "internal server error", "too many requests", "bad gateway", "not found", "forbidden", "unauthorized", "service unavailable", "gateway time out", "bad request",
-    "error", "seite nicht gefunden fehler 0", "upstream connect error or disconnect before headers reset reason 0",
-    "oops request 0 could not be completed", "traceback most recent call last file gen line 0 in run keyerror _",
-    "the page you are looking for may have been moved or deleted", "page introuvable erreur 0", "pagina no encontrada error 0",
-]
-SCRIPTS = [
-    *(f"{p} {q}" for p in ("please enable js", "you must enable js in your browser", "enable js", "js seems to be off enable it", "_ does not work without js enable it")
-      for q in ("to continue", "to view this page", "to see the _", "to use this application", "before you proceed", "and reload", "for this content to load", "in order to display the _")),
-    "you must enable js in your browser", "you need to enable js to run this app", "js is disabled", "enable it and reload the page", "js seems to be off", "js seems to be off enable it",
-    "enable it to view this page", "enable it to continue", "enable it before you proceed", "enable it in order to display the _", "enable it to see the _", "enable it for this content to load", "enable it and reload",
-    "your browser does not run js or they are blocked the content cannot be shown", "sorry your browser does not support js or it has been disabled",
-    "this site requires js to be enable in your browser", "for full functionality of this site it is necessary to enable js", "js must be enable for this content",
-    "bitte aktivieren sie js um diese seite anzuzeigen", "habilite los js del navegador para ver el contenido", "veuillez activer js pour continuer",
-    "checking your browser before access", "js and cookies required", "ray 0", "just a moment", "js support is needed",
-]
-_NOUNS = ["step", "input", "value", "result", "data", "text", "precondition", "expected outcome", "expected result", "test data", "description"]
-_MARKS = ["todo", "fixme", "xxx", "tbd", "tbc", "to do"]
-FILLER = [
-    *_MARKS, "placeholder", DOTS, BRACKET, "to be defined", "to be defined in release 0", "tbc by author", "notavailable fill in later", "fill in later",
-    "dummy entry replace before review", "same as above but different", "execute test action", "input test data then verify result",
-    "sample text sample text sample text", "blindtext folgt", "a completer", "describe the expected outcome of this step", "todo write this step", "replace me",
-    "lorem ipsum dolor sit amet consectetur adipiscing elit", "lorem ipsum", "foo bar", "asdf qwer", "xxx xxx xxx", "test test test",
-    *(f"{m} {v} {n}" for m in _MARKS for v in ("describe", "define", "complete", "clarify", "ask about", "write") for n in _NOUNS),
-    *(f"{v} {a} {n} {w}" for v in ("enter", "write", "insert", "put", "add", "type") for a in ("your", "actual", "proper", "the") for n in _NOUNS for w in ("here", "later", "in this box", "before review")),
-    *(f"{a} {n} {w}" for a in ("dummy", "default", "generic", "sample", "example", "your") for n in _NOUNS for w in ("here", "goes here", "text", "content", "replace me")),
-    *(f"{n} {w}" for n in _NOUNS for w in ("goes here", "description goes here", "to follow", "pending from author", "not yet written", "still missing", "will be added")),
-    *(f"example {n} 0 example {n} 0" for n in _NOUNS),
-]
-#: Words without meaning: a passage of nothing else is filler however they are ordered.
-NONSENSE = "lorem ipsum dolor foo bar baz qux xxx asdf qwer qwerty dummy test abc blah"
-#: Content about templates, errors and scripts, which is not residue.
-CONTENT = [
-    "enable js off in the browser and reload the start page", "turn off js in the browser and reload the start page", "a notice asks the user to enable js and the static menu still works",
-    "the error page shows reference number and no stack trace for the _", "status 0 is returned and the _ stays unchanged",
-    "the reply has status 0 and the branded not found screen offers a link to the _", "the user is told that the session has expired and the _ is kept as draft",
-    "wait until the session of the _ has expired then click save", "stop the upstream host so that the _ screen answers with status 0", "request a page that does not exist for the _",
-    "set the label of the _ to todo and open the task board", "the _ displays to be defined for the _ without owner until one is set",
-    "fill the description with a lorem ipsum paragraph of 0 characters to reach the size limit", "todo list", f"{PART} of {PART}",
-    "leave the optional remark of the _ blank", "the preview of the mail template lists its fields name and date for editing",
-    "press the save button", "add entry", "one entry is added", "return to the first tab", "send the request again", "reload the page", "reload the list", "open the start page",
-]
-
-
 class Index:
-    """Inverted index over the exemplars with the weights of one corpus."""
+    """Inverted index over labelled exemplars with the weights of one corpus."""
 
-    def __init__(self, counts: np.ndarray, total: int):
+    def __init__(self, counts: np.ndarray, total: int, exemplars: list[tuple[str, str]] = LABELLED):
         self.counts, self.total = counts, max(total, 1)
         self.known: dict[str, float] = {}
-        self.entries: list[tuple[frozenset[str], float, bool, bool, bool, int]] = []  # words, weight, lead, tail, residue, length
+        self.entries: list[tuple[frozenset[str], float, bool, bool, str, int]] = []  # words, weight, lead, tail, label, length
         self.postings: dict[str, list[int]] = {}
-        labelled = [(e, True) for e in [*ERRORS, *SCRIPTS, *FILLER]] + [(e, False) for e in CONTENT]
-        for text, residue in labelled:
-            w = [x for x in (words_of(text.replace("_", " ")) if text not in (DOTS, BRACKET) else [text])]
+        self.vocabulary: set[str] = set()  # of the residue phrases
+        for text, label in exemplars:
+            w = [text] if text in (DOTS, BRACKET, PART) else words_of(text.replace("_", " "))
             words = frozenset(w)
-            e = (words, sum(map(self.weight, words)), text.startswith("_"), text.endswith("_"), residue, len(w))
-            # Posted under its heaviest words only: whoever holds RECALL of its weight holds one of them.
+            if not words:
+                continue
+            if label == "phrase":
+                self.vocabulary |= words
+            e = (words, sum(map(self.weight, words)), text.startswith("_"), text.endswith("_"), label, len(w))
+            # Posted under its heaviest words only: whoever holds RECALL of its weight holds one of them. A bag is posted under all.
             rest = e[1]
             for x in sorted(words, key=lambda x: (-self.weight(x), x)):
                 self.postings.setdefault(x, []).append(len(self.entries))
                 rest -= self.weight(x)
-                if rest < RECALL * e[1]:
+                if rest < RECALL * e[1] and label != "bag":
                     break
             self.entries.append(e)
-        self.nonsense = frozenset(NONSENSE.split())
 
     def weight(self, word: str) -> float:
         v = self.known.get(word)
@@ -152,57 +106,77 @@ class Index:
             v = self.known[word] = (0.1 if word == "0" else 1.0) * float(np.log((self.total + 1) / (n + 1)) + 0.1)
         return v
 
-    def covers(self, words: list[str]) -> tuple[float, float]:
-        """(residue, content): the best coverage of the passage by exemplars of either label."""
+    def is_residue(self, words: list[str]) -> bool:
+        """Whether residue exemplars cover the passage, or a window of it, highly and more than content exemplars do."""
+        present = set(words)
+        seen: set[int] = set()
+        for w in present:
+            seen.update(self.postings.get(w, ()))
+        if not any(self.entries[i][4] in RESIDUE for i in seen):
+            return False
         weights = [self.weight(w) for w in words]
         whole = sum(weights)
-        best = {True: 0.0, False: 0.0}
+        residue = content = 0.0
         covered = [False] * len(words)
         lone = len(words) == 1
-        seen: set[int] = set()
-        for w in set(words):
-            seen.update(self.postings.get(w, ()))
-        present = set(words)
+        windows: list[tuple[int, int]] = []
+        frames: list[list[int]] = []
         for i in seen:
-            ex, ex_weight, lead, tail, residue, length = self.entries[i]
-            hit = ex & present
-            held = sum(map(self.weight, hit))
+            ex, ex_weight, lead, tail, label, length = self.entries[i]
+            on = [j for j, w in enumerate(words) if w in ex]
+            if label == "bag":
+                residue = max(residue, sum(weights[j] for j in on) / whole)
+                continue
+            held = sum(map(self.weight, ex & present))
+            if label == "part":
+                windows += [(j, j + 1) for j in on]
+                continue
             if held < RECALL * ex_weight:
                 continue
-            on = [j for j, w in enumerate(words) if w in ex]
+            if label == "frame":
+                if held >= WINDOW * ex_weight:
+                    frames.append(on)
+                continue
             first, last = on[0], on[-1]
             mine = sum(weights[j] for j in on)
             free = sum(weights[max(0, first - SLOT) : first]) if lead else 0.0
             free += sum(weights[last + 1 : last + 1 + SLOT]) if tail else 0.0
-            if not residue:  # content exemplars have their places inside
+            if label == "content":  # content exemplars have their places inside
                 free += sum(weights[j] for j in range(first, last + 1) if words[j] not in ex)
-            share = min(1.0, (mine + free) / whole) * (1.0 if lone and residue else min(1.0, held / ex_weight + 0.15 * (len(words) > 1)))
-            best[residue] = max(best[residue], share)
-            if residue and held >= 0.8 * ex_weight and (length > 1 or ex_weight >= 0.8 * whole):
+                content = max(content, min(1.0, (mine + free) / whole) * min(1.0, held / ex_weight + 0.15 * (not lone)))
+                continue
+            residue = max(residue, min(1.0, (mine + free) / whole) * (1.0 if lone else min(1.0, held / ex_weight + 0.15)))
+            if mine >= HALF * whole:
+                # Most of the passage says what an exemplar says; the rest may be the words of others.
+                residue = max(residue, sum(w for w, x in zip(weights, words, strict=True) if x in self.vocabulary) / whole - 0.2)
+            if held >= WINDOW * ex_weight and (length > 1 or ex_weight >= WINDOW * whole):
                 for j in on:
                     covered[j] = True
                 if lead:
                     covered[max(0, first - SLOT) : first] = [True] * len(covered[max(0, first - SLOT) : first])
-        union = sum(w for w, c in zip(weights, covered, strict=True) if c) / whole if whole else 0.0
-        best[True] = max(best[True], union)
-        if present <= self.nonsense:
-            best[True] = 1.0
-        return best[True], best[False]
-
-    def is_residue(self, passage: str) -> bool:
-        words = words_of(passage)
-        if not words:
-            return False
-        if PART in words and len(words) > 1:
-            # A window of one word is covered entirely by the exemplar of an unfilled part.
-            return self.covers(words)[1] < 0.9
-        if words == [PART]:
+                if length >= SHORT:
+                    windows += self.windows(words, weights, on, ex, ex_weight, length)
+        residue = max(residue, sum(w for w, c in zip(weights, covered, strict=True) if c) / whole)
+        if residue >= COVERAGE and residue > content:
             return True
-        residue, content = self.covers(words)
-        return residue >= COVERAGE and residue > content
-
-    def case(self, text: str) -> bool:
-        return any(self.is_residue(s) for p in passages_of(text) for s in dict.fromkeys([p, *_SENTENCES.split(p)]))
+        # A window is residue unless content covers the passage, or words outside a longer window report what it says.
+        return any(
+            content < 0.9 and (hi - lo == 1 or not any(any(not lo <= j < hi for j in on) for on in frames)) for lo, hi in windows
+        )
+
+    def windows(self, words: list[str], weights: list[float], on: list[int], ex: frozenset[str], ex_weight: float, length: int) -> list[tuple[int, int]]:
+        """Runs of about the exemplar's length that it covers and that hold it."""
+        out = []
+        for lo in on:
+            inside = [j for j in on if lo <= j < lo + length + SLOT]
+            hi = inside[-1] + 1
+            holds = sum(map(self.weight, {words[j] for j in inside}))
+            if holds >= WINDOW * ex_weight and sum(weights[j] for j in inside) >= WINDOW * sum(weights[lo:hi]):
+                out.append((lo, hi))
+        return out
+
+    def case(self, passages: list[list[str]]) -> bool:
+        return any(map(self.is_residue, passages))
 
 
 def bucket(word: str) -> int:
@@ -249,50 +223,84 @@ def field_texts(tests: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     )
 
 
-def residue_texts(texts: DataFrame) -> DataFrame:
-    """(text): the distinct texts that hold residue. Weights come from the word counts of all rows of ``texts``."""
+def windows_of(text: str) -> list[list[str]]:
+    """The words of each passage of a text and of each of its sentences and lines."""
+    out: dict[str, None] = {}
+    for p in passages_of(text):
+        out.update(dict.fromkeys([p, *_SENTENCES.split(p)]))
+    return [w for w in map(words_of, out) if w]
+
+
+def labelled(exemplars: DataFrame | None) -> list[tuple[str, str]]:
+    """The rows of a table of (text, label), at most ``MAX_EXEMPLARS``; without a table the default ones."""
+    if exemplars is None:
+        return LABELLED
+    rows = exemplars.where("text is not null and label is not null").select("text", "label").distinct().limit(MAX_EXEMPLARS + 1).collect()
+    if len(rows) > MAX_EXEMPLARS:
+        raise ValueError(f"more than {MAX_EXEMPLARS} exemplars")
+    return sorted((r["text"], r["label"]) for r in rows)
+
+
+def residue_texts(texts: DataFrame, exemplars: DataFrame | None = None) -> DataFrame:
+    """(text): the distinct texts that hold residue. Weights come from the word counts of all rows of ``texts``.
+
+    Texts are cut into words once; the words are written and both read for the counts and judged.
+    """
     spark = texts.sparkSession
     each = texts.groupBy("text").agg(F.count("*").alias("n"))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [windows_of(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, type=pa.list_(pa.list_(pa.string())))], ["text", "n", "passages"])
+
+    each = materialize(each.mapInArrow(cut, "text string, n long, passages array<array<string>>"), "passages")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS + 1, dtype=np.int64)
+        at: dict[str, int] = {}
         for b in batches:
-            for text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for p in passages_of(text):
-                    sums[BUCKETS] += n
-                    for w in set(words_of(p)):
-                        sums[bucket(w)] += n
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["b", "n"])
+            for n, passages in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[BUCKETS] += n * len(passages)
+                for p in passages:
+                    for w in set(p):
+                        k = at.get(w)
+                        if k is None:
+                            if len(at) > 1 << 20:
+                                at.clear()
+                            k = at[w] = bucket(w)
+                        sums[k] += n
+        held = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], ["b", "n"])
 
     counts, total = np.zeros(BUCKETS, dtype=np.int64), 0
-    for r in each.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # bounded: one row per bucket
+    for r in each.select("n", "passages").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # bounded: one row per bucket
         if r["b"] == BUCKETS:
             total = r["n"]
         else:
             counts[r["b"]] = r["n"]
-    shared = spark.sparkContext.broadcast((counts, total))
+    shared = spark.sparkContext.broadcast((counts, total, labelled(exemplars)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         for b in batches:
-            text = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([t for t in text if index.case(t)], type=pa.string())], ["text"])
+            cases = [index.case(p) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(cases, type=pa.bool_()))], ["text"])
 
-    return each.select("text").mapInArrow(judge, "text string")
+    return each.select("text", "passages").mapInArrow(judge, "text string")
 
 
-def residue_fields(tests: DataFrame, id_col: str = "test_id", fields: tuple[str, ...] = ("test_steps", "expected_result", "test_data")) -> DataFrame:
+def residue_fields(tests: DataFrame, id_col: str = "test_id", fields: tuple[str, ...] = ("test_steps", "expected_result", "test_data"), exemplars: DataFrame | None = None) -> DataFrame:
     """p3_found: (test_id, field_name) of each field with residue in at least one step, value or sentence."""
     texts = field_texts(tests, id_col, list(fields))
-    return texts.join(residue_texts(texts), "text", "left_semi").select("test_id", "field_name").distinct()
+    return texts.join(residue_texts(texts, exemplars), "text", "left_semi").select("test_id", "field_name").distinct()
 
 
-def clean_tests(tests: DataFrame, id_col: str = "test_id") -> DataFrame:
+def clean_tests(tests: DataFrame, id_col: str = "test_id", exemplars: DataFrame | None = None) -> DataFrame:
     """The rows of ``tests`` without residue in any field. Judged row by row: another version of a test may be clean."""
     fields = ["test_steps", "expected_result", "test_data"]
     texts = field_texts(tests, id_col, fields)
-    bad = residue_texts(texts)
+    bad = residue_texts(texts, exemplars)
     row = F.xxhash64(*[F.coalesce(F.to_json(F.struct(f), {"ignoreNullFields": "false"}), F.lit("")) for f in fields])
     keyed = tests.withColumn("__row", row)
     dirty = field_texts(keyed, "__row", fields).join(bad, "text", "left_semi").select(F.col("test_id").alias("__row")).distinct()
