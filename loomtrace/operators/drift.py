@@ -1,12 +1,14 @@
 """Schemas that drift between files: one consistent table and a list of every change.
 
-Rows are loaded as path-value maps with raw types (variants), path and type statistics are aggregated
-by file, each file is compared with the one before it, and typed columns are projected with a report of
-every cast that failed. All of it runs in the JVM but the naming rule, which sees one row per file and field.
+Each payload is read once, as a variant, into its shape: the map of its paths to their raw types. Shapes are few, so
+path and type statistics by file are an aggregate of them. Each file is compared with the one before it, and typed
+columns are projected with a report of every cast that failed and a column for what the catalogue does not know.
+All of it runs in the JVM but the reading of a shape and the naming rule, which see one row per file and shape or field.
 
 Defined results: a payload that cannot be parsed or is no object is unreadable and adds nothing to its
 file; a file without any readable payload is no file; repeated lines count once; a field that is null
-everywhere is there, but has no type, so it can neither be nor cause a retyping.
+everywhere is there, but has no type, so it can neither be nor cause a retyping. Objects may be nested to any depth
+that the JSON reader takes; a field in them is named parent.child.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.session import materialize
+
 #: Names that mean a catalogue field but share no letters with it.
 SYNONYMS = {"heading": "title", "caption": "title", "summary": "description", "role": "actor"}
 
@@ -72,39 +76,68 @@ def resolve_name(name: str, catalogue: list[str], synonyms: dict[str, str] = SYN
     return found
 
 
-def path_values(records: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
-    """(keep..., field, raw_type, value): one row per field of each readable payload, nested ones as parent.child.
+_TOKEN = re.compile(r"`((?:[^`]|``)*)`|(\w+)(?:\([\d, ]*\))?|([<>:,])")
 
-    raw_type is string, number, boolean, array or null; an object itself is no field.
-    """
-    tvf = records.sparkSession.tvf
-    base = records.select(*keep, F.expr(f"try_parse_json(`{payload}`)").alias("v0")).where("schema_of_variant(v0) like 'OBJECT<%'")
-    top = base.lateralJoin(tvf.variant_explode(F.col("v0").outer())).select(*keep, F.col("key").alias("k1"), F.col("value").alias("v1"))
-    top = top.withColumn("inner_object", F.expr("case when schema_of_variant(v1) like 'OBJECT<%' then v1 end"))
-    both = top.lateralJoin(tvf.variant_explode_outer(F.col("inner_object").outer()))
-    nested = F.col("inner_object").isNotNull()
-    return (
-        both.select(
-            *keep,
-            F.when(nested, F.concat("k1", F.lit("."), "key")).otherwise(F.col("k1")).alias("field"),
-            F.when(nested, F.col("value")).otherwise(F.col("v1")).alias("value"),
-        )
-        .where("field is not null")
-        .withColumn("raw_type", raw_type(F.expr("schema_of_variant(value)")))
-    )
+
+RAW_TYPES = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array"}  # all others are numbers
+
+
+def shape_fields(shape: str) -> list[tuple[str, str]]:
+    """(field, raw type) of every leaf of a shape as ``schema_of_variant`` writes it; objects themselves are none."""
+    tokens = [m.groups() for m in _TOKEN.finditer(shape)]
+    out: list[tuple[str, str]] = []
+
+    def after_brackets(i: int) -> int:
+        depth = 0
+        while True:
+            depth += {"<": 1, ">": -1}.get(tokens[i][2], 0)
+            i += 1
+            if not depth:
+                return i
+
+    def read(i: int, path: list[str]) -> int:
+        word = tokens[i][1]
+        if word != "OBJECT":
+            if path:
+                out.append((".".join(path), RAW_TYPES.get(word, "number")))
+            return after_brackets(i + 1) if i + 1 < len(tokens) and tokens[i + 1][2] == "<" else i + 1
+        i += 2
+        while tokens[i][2] != ">":
+            if tokens[i][2] == ",":
+                i += 1
+            quoted, plain, _ = tokens[i]
+            i = read(i + 2, [*path, plain or (quoted or "").replace("``", "`")])
+        return i + 1
+
+    read(0, [])
+    return out
 
 
 def raw_type(kind: Column) -> Column:
+    """The raw type of a value from what ``schema_of_variant`` says of it."""
     return (
-        F.when(kind == "VOID", "null")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.like("ARRAY<%"), "array")
-        .when(kind.like("OBJECT<%"), "object")
-        .otherwise("number")
+        F.when(kind == "VOID", "null").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.like("ARRAY<%"), "array")
+        .when(kind.like("OBJECT<%"), "object").otherwise("number")
     )
 
 
+def shapes(records: DataFrame, keep: list[Column | str], payload: str = "payload") -> DataFrame:
+    """(keep..., shape, n): how often each shape of a readable payload occurs. One reading of each payload, partial aggregation."""
+    shape = F.expr(f"schema_of_variant(try_parse_json(`{payload}`))")
+    return records.select(*keep, shape.alias("shape")).where("shape like 'OBJECT<%'").groupBy(*keep, "shape").agg(F.count("*").alias("n"))
+
+
+def fields_of(shape: str) -> Column:
+    """The leaves of a shape as an array of (field, raw_type). Meant for one row per file and shape."""
+
+    @F.pandas_udf("array<struct<field:string,raw_type:string>>")
+    def leaves(s: pd.Series) -> pd.Series:
+        known = {x: [{"field": f, "raw_type": t} for f, t in shape_fields(x)] for x in s.unique()}
+        return s.map(known)
+
+    return leaves(shape)
+
+
 def canonical(catalogue: dict[str, list[str]], synonyms: dict[str, str] = SYNONYMS):
     """A pandas UDF (kind, field) -> catalogue field or the name itself. Meant for one row per file and field."""
 
@@ -112,7 +145,7 @@ def canonical(catalogue: dict[str, list[str]], synonyms: dict[str, str] = SYNONY
     def attr(kind: pd.Series, field: pd.Series) -> pd.Series:
         known: dict[tuple, str] = {}
         for k, f in set(zip(kind, field, strict=True)):
-            known[k, f] = resolve_name(f, catalogue.get(k, []), synonyms)
+            known[k, f] = None if f is None else resolve_name(f, catalogue.get(k, []), synonyms)
         return pd.Series([known[kf] for kf in zip(kind, field, strict=True)], dtype="object")
 
     return attr
@@ -131,29 +164,30 @@ FILE = ["feed_id", "record_kind", "file_seq"]
 
 
 def file_statistics(records: DataFrame, catalogue: dict[str, list[str]]) -> DataFrame:
-    """(feed_id, record_kind, file_seq, file_name, field, attr, types, n_values): one row per file and field."""
-    stats = (
-        path_values(records, [*FILE, "file_name"])
-        .groupBy(*FILE, "field")
-        .agg(
-            F.max("file_name").alias("file_name"),
-            F.array_sort(F.collect_set(F.when(F.col("raw_type") != "null", F.col("raw_type")))).alias("types"),
-            F.count("*").alias("n_values"),
-        )
+    """(feed_id, record_kind, file_seq, file_name, field, attr, types, n_values): one row per file and field.
+
+    A file some of whose payloads have no field at all has a row without a field, so that it is a file even if all are so.
+    """
+    leaves = shapes(records, [*FILE, "file_name"]).select(*FILE, "file_name", "n", F.explode_outer(fields_of("shape")).alias("f"))
+    stats = leaves.groupBy(*FILE, F.col("f.field").alias("field")).agg(
+        F.max("file_name").alias("file_name"),
+        F.array_sort(F.collect_set(F.when(F.col("f.raw_type") != "null", F.col("f.raw_type")))).alias("types"),
+        F.sum("n").alias("n_values"),
     )
     return stats.withColumn("attr", canonical(catalogue)("record_kind", "field"))
 
 
 def changes(records: DataFrame, field_catalog: DataFrame) -> DataFrame:
     """p5_found: (file_name, field_name, change_kind) of each file against the one with the next lower file_seq."""
-    stats = file_statistics(records, catalogue_of(field_catalog))
-    per_attr = stats.groupBy(*FILE, "attr").agg(
+    # One row per file and field; written, since files, the newer and the older side all come from it.
+    stats = materialize(file_statistics(records, catalogue_of(field_catalog)), "file-statistics")
+    per_attr = stats.where("field is not null").groupBy(*FILE, "attr").agg(
         F.max("file_name").alias("file_name"),
         F.array_sort(F.collect_set("field")).alias("names"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"),
     )
     # The file before: statistics are one row per file and attribute, so the window is over files, not records.
-    files = per_attr.groupBy(*FILE).agg(F.max("file_name").alias("file_name"))
+    files = stats.groupBy(*FILE).agg(F.max("file_name").alias("file_name"))
     order = Window.partitionBy("feed_id", "record_kind").orderBy("file_seq")
     pairs = files.withColumn("before", F.lag("file_seq").over(order)).where("before is not null")
     new = per_attr.join(pairs.select(*FILE), FILE).select(*FILE, "attr", F.col("names").alias("new_names"), F.col("types").alias("new_types"))
@@ -187,10 +221,10 @@ def changes(records: DataFrame, field_catalog: DataFrame) -> DataFrame:
     )
 
 
-def _names_by_attr(records: DataFrame, field_catalog: DataFrame, kind: str) -> dict[str, list[str]]:
+def _names_by_attr(records: DataFrame, catalogue: dict[str, list[str]], kind: str) -> dict[str, list[str]]:
     """Every spelling of each catalogue field that occurs: schema, not data, so its size does not follow the rows."""
-    catalogue = catalogue_of(field_catalog)
-    seen = path_values(records.where(F.col("record_kind") == kind), ["record_kind"]).select("record_kind", "field").distinct()
+    seen = shapes(records.where(F.col("record_kind") == kind), ["record_kind"]).select("record_kind", F.explode(fields_of("shape")).alias("f"))
+    seen = seen.select("record_kind", F.col("f.field").alias("field")).distinct()
     rows = seen.withColumn("attr", canonical(catalogue)("record_kind", "field")).where(F.col("attr").isin(catalogue.get(kind, []))).collect()
     out: dict[str, list[str]] = {}
     for r in rows:
@@ -201,33 +235,61 @@ def _names_by_attr(records: DataFrame, field_catalog: DataFrame, kind: str) -> d
 SPARK_TYPE = {"string": "string", "number": "double", "boolean": "boolean", "array": "array<string>"}
 
 
+def _other_fields(names: dict[str, list[str]]) -> Column:
+    """The fields of ``v0`` that no name of the catalogue stands for, as one map of path to value; null for none."""
+    known = sorted({n for spellings in names.values() for n in spellings})
+    parents = sorted({p for n in known for p in _ancestors(n)})
+    empty = F.create_map().cast("map<string,variant>")
+
+    def unknown(parent: str) -> Column:
+        def name(k: Column) -> Column:
+            return F.concat(F.lit(parent + "."), k) if parent else k
+
+        def keep(k: Column, v: Column) -> Column:
+            return ~name(k).isin(known) & ~(name(k).isin(parents) & F.schema_of_variant(v).like("OBJECT<%"))
+
+        inside = F.expr(f"try_variant_get(v0, '{_path(parent)}', 'map<string,variant>')")
+        return F.coalesce(F.transform_keys(F.map_filter(inside, keep), lambda k, _: name(k)), empty)
+
+    parts = [unknown(p) for p in ["", *parents]]
+    both = F.map_concat(*parts)
+    return F.when(F.size(both) > 0, F.to_json(both))
+
+
+def _ancestors(name: str) -> list[str]:
+    parts = name.split(".")
+    return [".".join(parts[:i]) for i in range(1, len(parts))]
+
+
+def _path(name: str) -> str:
+    return "$" + "".join(f'["{p}"]' for p in name.split(".") if name).replace("'", "\\'")
+
+
 def _typed(records: DataFrame, field_catalog: DataFrame, kind: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    names = _names_by_attr(records, field_catalog, kind)
-    fields = [(r["field_name"], r["json_type"]) for r in field_catalog.where(F.col("record_kind") == kind).distinct().collect()]
+    names = _names_by_attr(records, catalogue_of(field_catalog), kind)
+    fields = sorted({(r["field_name"], r["json_type"]) for r in field_catalog.where(F.col("record_kind") == kind).collect()})
     base = records.where(F.col("record_kind") == kind).select("feed_id", "file_name", "file_seq", "line_no", "payload").distinct()
     base = base.withColumn("v0", F.expr("try_parse_json(payload)")).where("schema_of_variant(v0) like 'OBJECT<%'")
-
-    def path(n: str) -> str:
-        return "$" + "".join(f'["{p}"]' for p in n.split(".")).replace("'", "\\'")
-
     cols = []
-    for f, t in sorted(fields):
-        raw = [f"try_variant_get(v0, '{path(n)}', 'variant')" for n in names.get(f, [])]
+    for f, _ in fields:
+        raw = [f"try_variant_get(v0, '{_path(n)}', 'variant')" for n in names.get(f, [])]
         present = [f"case when schema_of_variant({r}) <> 'VOID' then {r} end" for r in raw]
         v = f"coalesce({', '.join(present)}, null)" if present else "cast(null as variant)"
         cols.append(F.expr(v).alias(f"raw:{f}"))
-    return base.select("feed_id", "file_name", "file_seq", "line_no", *cols), sorted(fields)
+    return base.select("feed_id", "file_name", "file_seq", "line_no", *cols, _other_fields(names).alias("other_fields")), fields
 
 
 def consistent_table(records: DataFrame, field_catalog: DataFrame, kind: str) -> DataFrame:
     """All readable records of one kind in the shape of the catalogue; nested fields are named parent__child.
 
-    Values whose raw type cannot be cast are null here and rows of ``failed_casts``.
+    Values whose raw type cannot be cast are null here and rows of ``failed_casts``; fields that the catalogue does not
+    know are in ``other_fields``, a JSON object of path to value, null for none.
     """
     raw, fields = _typed(records, field_catalog, kind)
     return raw.select(
         "feed_id", "file_name", "file_seq", "line_no",
         *[F.expr(f"try_variant_get(`raw:{f}`, '$', '{SPARK_TYPE[t]}')").alias(f.replace(".", "__")) for f, t in fields],
+        "other_fields",
     )
 
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,25 @@ def test_table_and_casts(spark):
     assert {(r["field_name"], r["raw_type"], r["raw_value"]) for r in D.failed_casts(df, catalog(spark), "CRU").collect()} == {("dependencies", "string", '"x"'), ("traceability.page", "string", '"vii"')}
 
 
+def test_shapes():
+    shape = "OBJECT<`a b`: BIGINT, c: OBJECT<`d.e`: ARRAY<OBJECT<x: VOID, y: ARRAY<STRING>>>, f: OBJECT<g: OBJECT<h: DECIMAL(2,1)>>>, n: VOID, o: OBJECT<>, `we``ird`: BOOLEAN, `x:y<z>,`: STRING>"
+    assert D.shape_fields(shape) == [("a b", "number"), ("c.d.e", "array"), ("c.f.g.h", "number"), ("n", "null"), ("we`ird", "boolean"), ("x:y<z>,", "string")]
+    assert D.shape_fields("OBJECT<>") == [] and D.shape_fields("ARRAY<BIGINT>") == []
+
+
+def test_deep_nesting(spark):
+    deep = lambda leaf: '{"a": {"b": {"c": {"d": {"e": %s}}}}}' % leaf
+    rows = [("f", "a1", 1, deep("1")), ("f", "a2", 2, deep('"1"')), ("f", "a3", 3, '{"a": {"b": {"c": {"d": {}}}}}')]
+    assert {tuple(r) for r in D.changes(frame(spark, rows), catalog(spark)).collect()} == {("a2", "a.b.c.d.e", "retyped"), ("a3", "a.b.c.d.e", "removed")}
+
+
+def test_other_fields(spark):
+    """What the catalogue does not know is kept."""
+    rows = [("f", "a", 1, '{"cru_id": "1", "x": [1], "traceability": {"page": 2, "note": "n", "deep": {"er": 1}}}'), ("f", "a", 1, '{"title": "t", "traceability": "none"}'), ("f", "a", 1, '{"title": "t", "traceability": {"page": 1}}')]
+    got = {r["line_no"]: r["other_fields"] and json.loads(r["other_fields"]) for r in D.consistent_table(frame(spark, rows), catalog(spark), "CRU").collect()}
+    assert got == {0: {"x": [1], "traceability.note": "n", "traceability.deep": {"er": 1}}, 1: {"traceability": "none"}, 2: None}
+
+
 def test_empty(spark):
     df = frame(spark, [("f", "a", 1, None)]).where("1 = 0")
     assert D.changes(df, catalog(spark)).count() == 0 and D.consistent_table(df, catalog(spark), "CRU").count() == 0
