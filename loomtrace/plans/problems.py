@@ -20,6 +20,18 @@ def p1_chunk_crus(spark, d):
     return nested.group_table(e, "$.crus[]", cols).withColumnRenamed("rec_key", "chunk_id").drop("parent_ords")
 
 
+def p1_inventory(spark, d):
+    """Which flat tables and columns the nested parts of chunks and outlines have."""
+    e = nested.chunk_elements(table(spark, d, "chunks"))
+    s = nested.skeleton_elements(table(spark, d, "raw_skeletons"))
+    return nested.inventory(e).withColumn("source", F.lit("chunks")).unionByName(nested.inventory(s).withColumn("source", F.lit("raw_skeletons")))
+
+
+def p1_criteria(spark, d):
+    """The acceptance criteria of all units of all chunks as one table, with every column that occurs."""
+    return nested.group_table(nested.chunk_elements(table(spark, d, "chunks")), "$.crus[].acceptance_criteria[]")
+
+
 def p1_skeleton_sections(spark, d):
     return nested.skeleton_sections(table(spark, d, "raw_skeletons"))
 

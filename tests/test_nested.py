@@ -78,6 +78,50 @@ def test_chunks(spark):
     assert {(r["rec_key"], r["pos"], r["cru_id"], r["actor"]) for r in crus} == {("c1", 0, None, "a"), ("c1", 2, "u2", None)}
 
 
+@settings(max_examples=200, deadline=None)
+@given(trees)
+def test_elements_in_the_stream(tree):
+    """The pivot in the stream against a grouping of all triples by ancestor and place."""
+    want = {}
+    for path, ords, kind, value in walk(tree):
+        ancestor, leaf = N.split_path(path)
+        e = want.setdefault((ancestor, ords), [True, {}])
+        if leaf == "" and kind == "null":
+            e[0] = False
+        elif kind not in ("object", "array"):
+            e[1][leaf] = value
+    got = [((a, tuple(o)), [p, v]) for a, o, p, v in N.stream_elements(N.stream_triples(json.dumps(tree)))]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_typed_elements_equal_parsed_ones(spark):
+    """Columns nested by type, against the same records as JSON."""
+    kind = "k string, a array<struct<x:int,y:array<array<string>>,z:struct<u:boolean,v:array<struct<w:string>>>>>, b struct<c:string,d:array<int>>, m map<string,struct<p:array<int>,q:string>>"
+    rows = [("1", [(1, [["p", None], None, []], (True, [("w",), None])), None, (None, None, None)], ("c", [1, None]), {"3.1": ([4], "q"), "4": None}), ("2", None, None, None), ("3", [], (None, []), {})]
+    df = spark.createDataFrame(rows, kind)
+    typed = N.typed_elements(df, "k", {"a": "a", "b": "b", "m": "m"})
+    parsed = N.elements(df.select("k", F.to_json(F.struct("a", "b", "m"), {"ignoreNullFields": "false"}).alias("j")), "k", "j", r"[\d.]+")
+    # Nulls in place of objects are leaves of their own in JSON, and absent ones of its columns by type.
+    seen = lambda d: sorted((r["rec_key"], r["ancestor"], tuple(r["ords"]), r["present"], tuple(sorted((k, v) for k, v in r["values"].items() if v is not None))) for r in d.collect())
+    assert seen(typed) == seen(parsed)
+
+
+def test_tables_from_the_data(spark):
+    df = spark.createDataFrame([("1", '{"rows": [{"a": 1, "b c": "x", "pos": 7}, null, {"d": {"e": true}}]}'), ("2", '{"rows": [{"a": 2}], "t": 1}'), ("3", "[1")], "k string, j string")
+    e = N.elements(df, "k", "j")
+    t = N.group_table(e, "$.rows[]")
+    assert t.columns == ["rec_key", "parent_ords", "pos", "a", "b_c", "d_e", "pos_"]
+    assert sorted(tuple(r) for r in t.collect()) == [("1", "", 0, "1", "x", None, "7"), ("1", "", 2, None, None, "true", None), ("2", "", 0, "2", None, None, None)]
+    assert {(r["ancestor"], r["leaf"], r["n_elements"], r["n_values"]) for r in N.inventory(e).collect()} >= {("$.rows[]", "a", 2, 2), ("$", "t", 1, 1)}
+    assert e.where("ancestor = '$error'").count() == 1
+
+
+def test_large_records_are_streamed(monkeypatch):
+    monkeypatch.setattr(N, "LARGE", 10)
+    assert list(N.whole('{"a": [1, 2', None)) == [("$error", [], "error", '{"a": [1, 2')]
+    assert [t[0] for t in N.whole('{"a": [1, 2]}', None)] == ["$", "$.a", "$.a[]", "$.a[]"]
+
+
 def test_skeletons(spark):
     flat = '{"1": {"title": "a", "page": "3"}, "1.1": {"page": 4}}'
     deep = '{"2": {"subsections": {"2.1": {"title": "t", "subsections": {"2.1.1": {}}}}}}'
