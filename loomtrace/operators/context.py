@@ -44,6 +44,17 @@ def pack(anchors: DataFrame, evidence: DataFrame, parents: DataFrame, notes: Dat
     return reduce(lambda x, y: x.join(y, "anchor", "left"), [ev, up, rel, nt], a)
 
 
+def capped_parents(evidence: DataFrame, parents: DataFrame) -> DataFrame:
+    """(anchor, parent, place): parents of an anchor's evidence in the order in which they are first met, at most as many as it has children.
+
+    ``evidence`` (anchor, child, child_rank), ``parents`` (child, parent, confidence, rank).
+    """
+    met = evidence.join(parents, "child").groupBy("anchor", "parent").agg(F.min(F.struct("child_rank", "rank")).alias("m"))
+    placed = met.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("m", "parent")))
+    n = evidence.groupBy("anchor").agg(F.count("*").alias("children"))
+    return placed.join(n, "anchor").where("place <= children").select("anchor", "parent", "place")
+
+
 def check_citations(tests: DataFrame, evidence: DataFrame) -> DataFrame:
     """(test_id, n_steps, citations, code): cited chunks outside the evidence are dropped; what is then wrong with the test, null if nothing.
 

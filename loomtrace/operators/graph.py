@@ -175,6 +175,21 @@ def parent_of_confidence(edges: DataFrame, tolerance: float = 1e-6) -> DataFrame
     return _issue(edges.where((F.col("rel_type") == "PARENT_OF") & (F.abs(F.col("confidence") - 1) > tolerance)), "PARENT_OF_CONFIDENCE", "warning", _edge_ref())
 
 
+def contract_breaches(edges: DataFrame, contract: DataFrame) -> DataFrame:
+    """(src_id, rel_type, dst_id, breach): edges of unknown relations, below their relation's least confidence, or without a needed reason.
+
+    ``contract`` (rel_type, least, needs_reason) holds one row per relation: schema, not data.
+    """
+    c = F.broadcast(contract.withColumn("__known", F.lit(True)))
+    j = edges.select("src_id", "rel_type", "dst_id", "confidence", "extra_json").join(c, "rel_type", "left")
+    known = F.col("__known").isNotNull()
+    breaches = F.array_compact(F.array(
+        F.when(~known, "unknown_relation"), F.when(known & (F.col("confidence").isNull() | (F.col("confidence") < F.col("least"))), "confidence"),
+        F.when(F.col("needs_reason") & F.get_json_object("extra_json", "$.confidence_reason").isNull(), "reason"),
+    ))
+    return j.select("src_id", "rel_type", "dst_id", F.explode(breaches).alias("breach"))
+
+
 def parent_supported_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parents = nodes.where(_chunk_kind("parent")).select(F.col("node_id").alias("dst_id"))
     return _issue(edges.where("rel_type = 'SUPPORTED_BY'").join(parents, "dst_id", "left_semi"), "PARENT_SUPPORTED_BY", "error", _edge_ref())

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.functions import rules as R
 from loomtrace.operators import context as C
 from loomtrace.operators import graph as G
 from loomtrace.session import materialize, table
@@ -82,7 +86,7 @@ def i2_orphan_children(spark, d):
 
 
 def i3_confidence_range(spark, d):
-    return G.confidence_range(table(spark, d, "edges"), 0.4, 0.97)
+    return G.confidence_range(table(spark, d, "edges"))
 
 
 def i4_confidence_reason_missing(spark, d):
@@ -106,6 +110,19 @@ def i8_strict_range(spark, d):
     return G.confidence_range(table(spark, d, "edges"), 0.4, 1.0)
 
 
+def i8_strict_contract(spark, d):
+    """All of the stricter contract: the range, orphan requirements as errors, PARENT_OF of exactly 1."""
+    e = table(spark, d, "edges")
+    orphans = G.orphan_requirements(_n(spark, d), e).withColumn("severity", F.lit("error"))
+    return G.confidence_range(e, 0.4, 1.0).unionByName(orphans).unionByName(G.parent_of_confidence(e, 0.0))
+
+
+def i10_contract(spark, d):
+    """Edges against a contract that is data: least confidence per relation, and whether a reason is required."""
+    contract = spark.createDataFrame([("SUPPORTED_BY", 0.4, True), ("PARENT_OF", 1.0, True), ("TESTS", 0.4, False), ("EVIDENCE_FOR", 0.4, True)], "rel_type string, least double, needs_reason boolean")
+    return G.contract_breaches(table(spark, d, "edges"), contract).groupBy("rel_type", "breach").agg(F.count("*").alias("n"))
+
+
 def u7_integrity(spark, d):
     return G.integrity(_n(spark, d), table(spark, d, "edges")).groupBy("code", "severity").agg(F.count("*").alias("n"))
 
@@ -184,8 +201,19 @@ def g4_two_hop(spark, d):
     return _arrivals(spark, d).select("anchor", "node_id", "depth", "score")
 
 
+def g2_all_tasks(spark, d):
+    """Arrivals under the relation list of each task."""
+    e, ids = materialize(_e(spark, d), "edges"), _ids(spark, d)
+    parts = [G.traverse(ids, e, task).select(F.lit(task).alias("task"), "anchor", "node_id", "depth", "score") for task in R.TASK_RELATIONS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def g5_trace_paths(spark, d):
-    return _arrivals(spark, d).groupBy("anchor").agg(F.countDistinct("path").alias("n_paths"), F.max("depth").alias("max_depth"))
+    """The steps of every path, as relation, direction and node, with the confidence of the whole."""
+    a = _arrivals(spark, d)
+    return a.select("anchor", "node_id", "depth", F.posexplode(F.split("path", r"\|")).alias("step", "s")).select(
+        "anchor", "node_id", "depth", "step", F.split_part("s", F.lit(" "), F.lit(1)).alias("rel_type"), F.split_part("s", F.lit(" "), F.lit(2)).alias("direction"), F.split_part("s", F.lit(" "), F.lit(3)).alias("to_id")
+    )
 
 
 def o1_evidence(spark, d):
@@ -220,6 +248,24 @@ def g10_context_pack(spark, d):
     return p.select("anchor", n("evidence"), n("parents"), n("related"), n("warnings"), F.col("evidence")[0]["node_id"].alias("best"))
 
 
+def o6_parents(spark, d):
+    """Parents of each anchor's evidence: the k best of each child, each parent once, no more in all than there are children."""
+    n, e = _n(spark, d), _e(spark, d)
+    ev = G.evidence(_arrivals(spark, d), n, 8).select("anchor", F.col("node_id").alias("child"), F.col("rank").alias("child_rank"))
+    return C.capped_parents(ev, G.parent_context(ev.select(F.col("child").alias("node_id")).distinct(), e, 3))
+
+
+def proj4_context_pack(spark, d):
+    """The pack itself, each list as one text in its own order."""
+    anchors, ev, arr, notes = _pack_parts(spark, d)
+    p = C.pack(anchors, ev, G.parent_context(ev.select("node_id").distinct(), _e(spark, d), 3), notes, arr)
+    joined = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit("")).alias(c)
+    return p.select(
+        "anchor", joined("evidence", lambda x: F.concat_ws(":", x["rank"], x["node_id"])), joined("parents", lambda x: x), joined("related", lambda x: F.concat_ws(":", x["r"], x["node_id"])),
+        joined("warnings", lambda x: F.concat_ws(":", x["code"], x["ref"])),
+    )
+
+
 def f13_citations(spark, d):
     """Tests against the evidence of the unit they name: citations are the chunks of their EVIDENCE_FOR edges."""
     e = _e(spark, d)
@@ -242,7 +288,7 @@ N = """n as (select * exclude r from (select *, row_number() over (partition by
 E = """e as (select * exclude r from (select *, row_number() over (partition by src_id, rel_type, dst_id order by created_at, confidence, coalesce(evidence_chunk_id, ''), coalesce(extra_json, '')) r
   from edges where src_id is not null and dst_id is not null and rel_type is not null and confidence is not null and extra_json is not null
    and (not starts_with(trim(extra_json), '{') or json_extract_string(extra_json, '$.confidence_reason') is not null) and rel_type <> 'INFERRED_SUPPORTED_BY') where r = 1)"""
-IDS = "ids as (select distinct cru_id node_id from crus where cru_id like '%0-01')"
+IDS = "ids as (select distinct cru_id node_id from crus where cru_id is not null)"
 KIND = "node_type = 'CHUNK' and json_extract_string(extra_json, '$.chunk_type')"
 REF = "concat_ws('|', src_id, rel_type, dst_id)"
 ISSUES = {
@@ -261,13 +307,18 @@ PARTS = f"""t as (select cru_id, arg_min(struct_pack(d := traceability.doc_id, s
    from (select chunk_id, unnest(crus) c, generate_subscripts(crus, 1) - 1 pos from chunks) where c.cru_id is not null),
  parts as (select chunk_id, pos, cru_id, m.d doc_id, m.s section_path, tx, 'P_' || sha256(coalesce(m.d, '') || coalesce(m.s, '')) parent_id,
    'CH_' || sha256(coalesce(m.d, '') || coalesce(m.s, '') || cru_id || lower(trim(tx))) child_id from cc join t using (cru_id))"""
-ARR = f"""with {E}, {IDS},
- st as (select src_id a, dst_id b, rel_type, confidence c, 'forward' dir from e where rel_type in ('SUPPORTED_BY', 'PARENT_OF', 'DECOMPOSED_TO', 'TESTS')
-   union all select dst_id, src_id, rel_type, confidence, 'reverse' from e where rel_type = 'TESTS'),
+def _arr(task: str) -> str:
+    """Arrivals within two hops under the relations of a task, as common table expressions."""
+    rel = {k: ", ".join(f"'{r}'" for r in v) for k, v in R.TASK_RELATIONS[task].items()}
+    return f"""st as (select src_id a, dst_id b, rel_type, confidence c, 'forward' dir from e where rel_type in ({rel["forward"]})
+   union all select dst_id, src_id, rel_type, confidence, 'reverse' from e where rel_type in ({rel["reverse"]})),
  a1 as (select i.node_id anchor, b node_id, max(struct_pack(c := c, p := concat_ws(' ', rel_type, dir, b))) m from ids i join st on st.a = i.node_id where b <> i.node_id group by 1, 2),
  a2 as (select anchor, b node_id, max(struct_pack(c := m.c * c, p := m.p || '|' || concat_ws(' ', rel_type, dir, b))) m from a1 join st on st.a = a1.node_id where b <> anchor group by 1, 2),
  arr as (select anchor, node_id, 1 depth, round(m.c * 0.9, 6) score, m.c confidence, m.p path from a1 union all select anchor, node_id, 2, round(m.c * (0.9 * 0.9), 6), m.c, m.p from a2)"""
 
+
+ARR = f"with {E}, {IDS}, {_arr('test_generation')}"
+
 ORACLE = {
     "w1_upsert_nodes": f"with {N} select node_id, node_type, title, module, version, created_at from n",
     "w1_merge_upsert": """with a as (select * from (select node_id, title, created_at, row_number() over (partition by node_id order by created_at desc, coalesce(title, '') desc, coalesce(text, '') desc) r from nodes where created_at < timestamp '2025-06-01') where r = 1),
@@ -286,12 +337,19 @@ ORACLE = {
     "s12_embedding_scan": "select distinct node_id, node_type, version, created_at from node_embeddings where node_type in ('CRU', 'CHUNK') and module = 'AUDIT' and doc_type = 'SRS'",
     "i1_orphan_requirements": f"with {N}, {E} " + ISSUES["ORPHAN_REQ"].replace("XX", "e"),
     "i2_orphan_children": f"with {N}, {E} " + ISSUES["ORPHAN_CHUNK_CHILD"].replace("XX", "e"),
-    "i3_confidence_range": f"select 'CONFIDENCE_RANGE' code, 'error' severity, {REF} ref from edges where confidence < 0.4 or confidence > 0.97",
+    "i3_confidence_range": ISSUES["CONFIDENCE_RANGE"],
     "i4_confidence_reason_missing": ISSUES["CONFIDENCE_REASON_MISSING"],
     "i5_forbidden_inferred": ISSUES["FORBIDDEN_INFERRED_EDGE"],
     "i6_parent_of_confidence": ISSUES["PARENT_OF_CONFIDENCE"],
     "i7_parent_supported_by": f"with {N} " + ISSUES["PARENT_SUPPORTED_BY"],
     "i8_strict_range": f"select 'CONFIDENCE_RANGE' code, 'error' severity, {REF} ref from edges where confidence < 0.4 or confidence > 1",
+    "i8_strict_contract": f"with {N} select 'CONFIDENCE_RANGE' code, 'error' severity, {REF} ref from edges where confidence < 0.4 or confidence > 1 union all select code, 'error', ref from ("
+    + ISSUES["ORPHAN_REQ"].replace("XX", "edges") + f") union all select 'PARENT_OF_CONFIDENCE', 'warning', {REF} from edges where rel_type = 'PARENT_OF' and confidence <> 1",
+    "i10_contract": """with c(rel_type, least_c, needs) as (values ('SUPPORTED_BY', 0.4::double, true), ('PARENT_OF', 1.0::double, true), ('TESTS', 0.4::double, false), ('EVIDENCE_FOR', 0.4::double, true)),
+      x as (select e.rel_type, 'unknown_relation' breach from edges e where not exists (select 1 from c where c.rel_type = e.rel_type)
+        union all select e.rel_type, 'confidence' from edges e join c using (rel_type) where e.confidence is null or e.confidence < c.least_c
+        union all select e.rel_type, 'reason' from edges e join c using (rel_type) where c.needs and json_extract_string(extra_json, '$.confidence_reason') is null)
+      select rel_type, breach, count(*) n from x group by 1, 2""",
     "u7_integrity": f"with {N}, x as ({ALL_ISSUES}) select code, severity, count(*) n from x group by 1, 2",
     "a22_integrity_summary": f"with {N}, x as ({ALL_ISSUES}) select count(*) filter (severity = 'error') errors, count(*) filter (severity = 'warning') warnings, count(*) filter (severity = 'error') = 0 passed from x",
     "proj5_cru_nodes": f"""with o as (select *, row_number() over (partition by cru_id order by loaded_at, coalesce(parent_requirement_id, '')) r, {CLAUSE.format(a='actor', t='action_text', k='constraint_text')} cl from crus where cru_id is not null)
@@ -313,7 +371,9 @@ ORACLE = {
     "j9_neighbourhood": f"""with {E}, {IDS}, m as (select dst_id x from e where src_id in (select node_id from ids) union select src_id from e where dst_id in (select node_id from ids) union select node_id from ids)
       select rel_type, count(*) n from e where src_id in (select x from m) or dst_id in (select x from m) group by 1""",
     "g4_two_hop": ARR + " select anchor, node_id, depth, score from arr",
-    "g5_trace_paths": ARR + " select anchor, count(distinct path) n_paths, max(depth) max_depth from arr group by 1",
+    "g2_all_tasks": " union all ".join(f"(with {E}, {IDS}, {_arr(t)} select '{t}' task, anchor, node_id, depth, score from arr)" for t in R.TASK_RELATIONS),
+    "g5_trace_paths": ARR + """, s as (select anchor, node_id, depth, unnest(string_split(path, '|')) x, generate_subscripts(string_split(path, '|'), 1) - 1 step from arr)
+      select anchor, node_id, depth, cast(step as int) step, split_part(x, ' ', 1) rel_type, split_part(x, ' ', 2) direction, split_part(x, ' ', 3) to_id from s""",
     "o1_evidence": ARR.replace("with e as", f"with {N}, e as", 1) + f""", b as (select anchor, node_id, max(score) score, min(depth) depth from arr group by 1, 2)
       select anchor, node_id, score, depth, cast(r as int) rank from (select b.*, row_number() over (partition by anchor order by score desc, b.node_id) r from b join n using (node_id) where {KIND} = 'child') where r <= 8""",
     "g6_related_nodes": ARR.replace("with e as", f"with {N}, e as", 1) + " select anchor, node_type, count(distinct node_id) n from arr join n using (node_id) group by 1, 2",
@@ -334,4 +394,13 @@ ORACLE |= {
     "g10_context_pack": _EV + """, pr as (select dst_id child, src_id parent from (select *, row_number() over (partition by dst_id order by confidence desc, src_id) r from e where rel_type = 'PARENT_OF' and dst_id in (select node_id from ev)) where r <= 3)
       select i.node_id anchor, cast((select count(*) from ev where anchor = i.node_id) as int) n_evidence, cast((select count(distinct parent) from ev join pr on pr.child = ev.node_id where anchor = i.node_id) as int) n_parents,
         cast(least(20, (select count(*) from arr where anchor = i.node_id)) as int) n_related, cast((select count(*) from nt where anchor = i.node_id) as int) n_warnings, (select node_id from ev where anchor = i.node_id and r = 1) best from ids i""",
+    "o6_parents": _EV + """, pr as (select child, parent, rank from (select dst_id child, src_id parent, row_number() over (partition by dst_id order by confidence desc, src_id) rank from e where rel_type = 'PARENT_OF' and dst_id in (select node_id from ev)) where rank <= 3),
+      j as (select anchor, parent, min((r, rank)) m from ev join pr on pr.child = ev.node_id group by 1, 2), k as (select *, row_number() over (partition by anchor order by m, parent) place from j), ch as (select anchor, count(*) children from ev group by 1)
+      select anchor, parent, cast(place as int) place from k join ch using (anchor) where place <= children""",
+    "proj4_context_pack": _EV + """, pr as (select dst_id child, src_id parent from (select *, row_number() over (partition by dst_id order by confidence desc, src_id) r from e where rel_type = 'PARENT_OF' and dst_id in (select node_id from ev)) where r <= 3),
+      rl as (select * from (select anchor, node_id, row_number() over (partition by anchor order by depth, score desc, node_id) r from arr) where r <= 20),
+      pa as (select anchor, string_agg(r || ':' || node_id, ',' order by r) t from ev group by 1), pb as (select anchor, string_agg(distinct parent, ',' order by parent) t from ev join pr on pr.child = ev.node_id group by 1),
+      pc as (select anchor, string_agg(r || ':' || node_id, ',' order by r) t from rl group by 1), pw as (select anchor, string_agg(concat_ws(':', code, ref), ',' order by code, ref nulls first) t from nt group by 1)
+      select i.node_id anchor, coalesce(pa.t, '') evidence, coalesce(pb.t, '') parents, coalesce(pc.t, '') related, coalesce(pw.t, '') warnings
+      from ids i left join pa on pa.anchor = i.node_id left join pb on pb.anchor = i.node_id left join pc on pc.anchor = i.node_id left join pw on pw.anchor = i.node_id""",
 }
