@@ -43,7 +43,7 @@ def validate(crus: DataFrame, requirement_ids: DataFrame, section_paths: DataFra
     path = F.col("path")
     code = lambda cond, name: F.when(cond, name)
     flags = F.array_compact(F.array(
-        code(F.col("has_parent").isNull(), "ERR-UNKNOWN-PARENT"),
+        code(F.col("has_parent").isNull(), "ERR-UNKNOWN-PARENT-REQ-ID"),
         code(F.trim(F.coalesce("actor", F.lit(""))) == "", "ERR-MISSING-ACTOR"),
         code(F.col("action_text").isNull(), "ERR-UNEXPECTED-NULL-ACTION"),
         code(F.col("confidence").isNull() | ~F.col("confidence").isin(VALID_CONFIDENCE), "ERR-INVALID-CONFIDENCE"),
@@ -93,12 +93,13 @@ def chunk_types(chunked: DataFrame) -> DataFrame:
 
 
 def chunk_report(chunked: DataFrame, size: int = 4) -> DataFrame:
-    """One row: number of chunks, units, smallest, largest and mean size, and whether the limit holds."""
+    """One row: number of chunks, units, distinct units, smallest, largest and mean size, whether the limit holds and a unit is in two chunks."""
     g = chunked.groupBy("chunk_no").agg(F.count("*").alias("n"))
+    ids = chunked.agg(F.countDistinct("cru_id").alias("unique_units"))
     return g.agg(
         F.count("*").alias("chunks"), F.sum("n").alias("units"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.round(F.avg("n"), 2).alias("mean"),
         F.bool_and(F.col("n") <= size).alias("within_limit"),
-    )
+    ).join(ids).withColumn("duplicates", F.col("units") > F.col("unique_units"))  # one row each
 
 
 BONUS = {"performance": "Performance", "security": "Security", "reliability": "Reliability", "portability": "Portability", "usability": "User Interface"}

@@ -14,16 +14,42 @@ from loomtrace.plans import units as PU
 from loomtrace.session import table
 
 
+PAYLOAD = ["cru_id", "actor", "action_text", "constraint_text", "confidence", "title", "acceptance_criteria"]
+
+
 def proj1_payload(spark, d):
     """The seven fields of a unit that chunks carry, as one JSON text."""
     c = PU._crus(spark, d)
-    body = F.to_json(F.struct("cru_id", "actor", "action_text", "constraint_text", "confidence", "title", "acceptance_criteria"), {"ignoreNullFields": "false"})
-    return c.select("cru_id", F.get_json_object(body, "$.actor").alias("actor"), F.get_json_object(body, "$.acceptance_criteria").alias("criteria"))
+    return c.select("cru_id", F.to_json(F.struct(*PAYLOAD), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def proj2_traceability(spark, d):
+    """The traceability of a requirement's units: its section under two names, and its source."""
+    s = F.col("source_reference")
+    return table(spark, d, "requirements").select(
+        "req_id", F.col("section_path").alias("section"), "section_path", s["page"].alias("page"), s["para"].alias("para"), s["doc_id"].alias("doc_id"), s["module"].alias("module"), s["version"].alias("version")
+    ).distinct()
 
 
 def proj3_source_reference(spark, d):
     s = F.col("source_reference")
-    return table(spark, d, "requirements").select("req_id", s["doc_id"].alias("doc_id"), s["page"].alias("page"), F.concat_ws("/", s["module"], s["version"]).alias("release")).distinct()
+    return table(spark, d, "requirements").select("req_id", *[s[f].alias(f) for f in ("doc_id", "module", "version", "page", "para")]).distinct()
+
+
+def proj6_normalised(spark, d):
+    """Requirements with their fields renamed, the source rebuilt as one reference and hints of what is missing or may be split."""
+    s = F.col("source_reference")
+    missing = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", c) for c in ("title", "actor", "description", "acceptance_criteria")]))
+    return table(spark, d, "requirements").select(
+        F.col("req_id").alias("requirement_id"), F.col("description").alias("statement"), F.concat(F.coalesce(s["doc_id"], F.lit("")), F.lit("#p"), F.coalesce(s["page"].cast("string"), F.lit("?")), F.lit("."), F.coalesce(s["para"].cast("string"), F.lit("?"))).alias("source_ref"),
+        X.may_split("description").alias("split_hint"), F.array_join(missing, ",").alias("missing"),
+    ).distinct()
+
+
+def proj7_candidates(spark, d):
+    """Tests with the text of the unit they name: candidates for a comparison."""
+    text = F.concat_ws(" ", "title", X.clause("actor", "action_text", "constraint_text"))
+    return PU._tests(spark, d).select("test_id", F.col("requirement_id").alias("cru_id")).join(PU._crus(spark, d).select("cru_id", text.alias("cru_text")), "cru_id", "left").select("test_id", "cru_id", F.coalesce("cru_text", F.lit("")).alias("cru_text"))
 
 
 def proj5_test_nodes(spark, d):
@@ -71,7 +97,7 @@ def a26_slot_text(spark, d):
 def a34_capability_ratio(spark, d):
     """Share of a chunk's units whose action holds a word of a tag; at least 0.5 counts."""
     u = table(spark, d, "chunks").select("chunk_id", F.explode("crus").alias("c")).select("chunk_id", F.lower(F.coalesce(F.col("c.action_text"), F.lit(""))).alias("t")).where("t <> ''")
-    tags = ["Notifications", "Security", "User Interface", "CRUD Operations"]
+    tags = list(R.CAPABILITIES)
     g = u.groupBy("chunk_id").agg(*[F.avg(F.col("t").rlike("|".join(R.CAPABILITIES[t])).cast("double")).alias(f"s{i}") for i, t in enumerate(tags)])
     s = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.round(f"s{i}", 6).alias("share")) for i, t in enumerate(tags)]))
     return g.select("chunk_id", s.alias("s")).select("chunk_id", "s.tag", "s.share").where("share >= 0.5")
@@ -107,10 +133,11 @@ def n22_step_numbers(spark, d):
 
 
 def x33_alias_ids(spark, d):
-    """Parent names through an alias table, upper-cased and trimmed: a join, since aliases are data."""
-    aliases = table(spark, d, "crus").where("parent_requirement_id like 'UI%'").select(F.upper(F.trim("parent_requirement_id")).alias("raw"), F.concat(F.lit("IF-"), F.substring("parent_requirement_id", 3, 20)).alias("canonical")).distinct()
+    """Parent names by a table of aliases: every spelling of a requirement id, without case, blanks and punctuation, stands for that id."""
+    bare = lambda c: F.regexp_replace(F.upper(F.trim(c)), "[^A-Z0-9]", "")
+    aliases = table(spark, d, "requirements").where("req_id is not null").groupBy(bare("req_id").alias("alias")).agg(F.min(F.upper(F.trim("req_id"))).alias("canonical"))
     c = table(spark, d, "crus").select("cru_id", F.upper(F.trim("parent_requirement_id")).alias("raw")).distinct()
-    return c.join(aliases, "raw", "left").select("cru_id", F.coalesce("canonical", "raw").alias("parent"))
+    return c.withColumn("alias", bare("raw")).join(aliases, "alias", "left").select("cru_id", F.coalesce("canonical", "raw").alias("parent"), F.col("canonical").isNotNull().alias("known"))
 
 
 def x36_page_kind(spark, d):
@@ -142,10 +169,15 @@ def j2_missing_verdicts(spark, d):
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and k[0].islower() and any(c.isdigit() for c in k[:5])}
 
-_A34 = " union all ".join(f"select chunk_id, '{t}' tag, round(avg(case when regexp_matches(t, '{'|'.join(R.CAPABILITIES[t])}') then 1.0::double else 0.0::double end), 6) share from u group by 1" for t in ("Notifications", "Security", "User Interface", "CRUD Operations"))
+_A34 = " union all ".join(f"select chunk_id, '{t}' tag, round(avg(case when regexp_matches(t, '{'|'.join(R.CAPABILITIES[t])}') then 1.0::double else 0.0::double end), 6) share from u group by 1" for t in R.CAPABILITIES)
 ORACLE = {
-    "proj1_payload": f"with {PU.CR} select cru_id, actor, acceptance_criteria criteria from cr",
-    "proj3_source_reference": "select distinct req_id, source_reference.doc_id doc_id, source_reference.page page, concat_ws('/', source_reference.module, source_reference.version) as release from requirements",
+    "proj1_payload": f"with {PU.CR} select cru_id, to_json(struct_pack({', '.join(f'{c} := {c}' for c in PAYLOAD)}))::varchar payload from cr",
+    "proj2_traceability": "select distinct req_id, section_path section, section_path, source_reference.page page, source_reference.para para, source_reference.doc_id doc_id, source_reference.module module, source_reference.version as version from requirements",
+    "proj3_source_reference": "select distinct req_id, source_reference.doc_id doc_id, source_reference.module module, source_reference.version as version, source_reference.page page, source_reference.para para from requirements",
+    "proj6_normalised": f"""select distinct req_id requirement_id, description statement, coalesce(source_reference.doc_id, '') || '#p' || coalesce(source_reference.page::varchar, '?') || '.' || coalesce(source_reference.para::varchar, '?') source_ref,
+      length(trim(coalesce(description, ''))) >= 10 and (regexp_matches(coalesce(description, ''), '{R.FOR_CLAUSE}') or len(regexp_extract_all(coalesce(description, ''), '{R.IMPERATIVES}')) >= 2) split_hint,
+      concat_ws(',', {", ".join(f"case when trim(coalesce({c}, '')) = '' then '{c}' end" for c in ("title", "actor", "description", "acceptance_criteria"))}) missing from requirements""",
+    "proj7_candidates": f"with {PU.CR}, {PU.TC} select test_id, requirement_id cru_id, coalesce(concat_ws(' ', cr.title, {PU.CLAUSE.replace('actor', 'cr.actor')}), '') cru_text from tc left join cr on cr.cru_id = tc.requirement_id",
     "proj5_test_nodes": f"with {PU.TC} select test_id node_id, 'TEST' node_type, test_title title, concat_ws(' ', array_to_string(list_filter(test_steps, lambda x: x is not null), ' '), expected_result) text, traceability.doc_id doc_id, coalesce(traceability.section_path, srs_section) section_path from tc",
     "g12_impact_report": f"with {PG.E}, t as (select dst_id node_id, count(*) n from e where rel_type = 'TESTS' group by 1), s as (select src_id node_id, count(*) n, round(avg(confidence), 6) c from e where rel_type = 'SUPPORTED_BY' group by 1) select coalesce(t.node_id, s.node_id) node_id, coalesce(t.n, 0) n_tests, coalesce(s.n, 0) n_chunks, s.c support from t full join s on s.node_id = t.node_id",
     "g12_debug_report": f"with {PG.N}, {PG.E} select node_id, r missing from n, (select unnest(['TESTS', 'EVIDENCE_FOR']) r) where node_type = 'TEST' and not exists (select 1 from e where e.src_id = n.node_id and e.rel_type = r)",
@@ -159,8 +191,9 @@ ORACLE = {
     "n20_scenario_steps": """with r as (select req_id, unnest(scenarios) s, generate_subscripts(scenarios, 1) - 1 no from requirements), x as (select req_id, no, 0 step, 'precondition' kind, s.given t from r where s is not null union all select req_id, no, 1, 'action', s.when_text from r where s is not null union all select req_id, no, 2, 'outcome', s.then_text from r where s is not null)
       select distinct req_id, cast(no as int) no, step, kind, t text from x where t is not null""",
     "n22_step_numbers": f"with {PU.TC}, x as (select test_id, list_filter(list_concat(coalesce(preconditions, []), coalesce(test_steps, []), [expected_result]), lambda x: x is not null) l from tc) select test_id, cast(no as int) no, md5(t) h from (select test_id, unnest(l) t, generate_subscripts(l, 1) no from x)",
-    "x33_alias_ids": """with a as (select distinct upper(trim(parent_requirement_id)) raw, 'IF-' || substr(parent_requirement_id, 3, 20) canonical from crus where parent_requirement_id like 'UI%'), c as (select distinct cru_id, upper(trim(parent_requirement_id)) raw from crus)
-      select c.cru_id, coalesce(canonical, c.raw) parent from c left join a using (raw)""",
+    "x33_alias_ids": """with a as (select regexp_replace(upper(trim(req_id)), '[^A-Z0-9]', '', 'g') alias, min(upper(trim(req_id))) canonical from requirements where req_id is not null group by 1),
+      c as (select distinct cru_id, upper(trim(parent_requirement_id)) raw from crus)
+      select c.cru_id, coalesce(canonical, c.raw) parent, canonical is not null known from c left join a on a.alias = regexp_replace(c.raw, '[^A-Z0-9]', '', 'g')""",
     "x36_page_kind": f"""with {PT.HEADS}, g as (select doc_id, count(*) n, count(*) filter (contains(lower(line), 'table of contents')) toc, count(*) filter (method = 'numeric') heads, count(*) filter (not {PT._NUM} and length(trim(line)) > 40) body from hl where trim(line) <> '' group by 1)
       select doc_id, case when toc > 0 or (heads >= 10 and body <= 3) then 'toc' when n <= 12 and heads = 0 then 'cover' else 'body' end kind from g""",
     "w2_attempts": f"with {PG.E} select a.rel_type, a.n attempted, coalesce(s.n, 0) stored from (select rel_type, count(*) n from edges group by 1) a left join (select rel_type, count(*) n from e group by 1) s using (rel_type)",

@@ -111,7 +111,7 @@ def j4_missing_parents(spark, d):
     return C.missing_parents(table(spark, d, "crus"), table(spark, d, "requirements"))
 
 
-def j5_tested_requirements(spark, d):
+def j5_covered_requirements(spark, d):
     """Requirements with at least one test of high priority: a semi-join."""
     t = table(spark, d, "test_cases").where("lower(trim(priority)) = 'high'").select(F.col("requirement_id").alias("cru_id"))
     c = table(spark, d, "crus").join(t, "cru_id", "left_semi").select(F.col("parent_requirement_id").alias("req_id"))
@@ -124,7 +124,7 @@ def a16_dependencies(spark, d):
 
 def g14_inferred(spark, d):
     r = table(spark, d, "requirements")
-    ok = j5_tested_requirements(spark, d).select(F.upper(F.trim("req_id")).alias("req_id"))
+    ok = j5_covered_requirements(spark, d).select(F.upper(F.trim("req_id")).alias("req_id"))
     return C.inferred(C.dependencies(r), ok)
 
 
@@ -136,7 +136,7 @@ def x28_overlap(spark, d):
 
 
 def x25_stem(spark, d):
-    w = table(spark, d, "documents").where("lang = 'en'").select(F.explode(X.words("text")).alias("w"))
+    w = table(spark, d, "documents").select(F.explode(X.words("text")).alias("w"))
     return C.stem_table(w, "w")
 
 
@@ -175,7 +175,18 @@ def w11_least_unique(spark, d):
 
 def a21_test_totals(spark, d):
     t = table(spark, d, "test_cases")
-    return t.groupBy("generation_phase", "test_type").agg(F.count("*").alias("n"), F.countDistinct("test_id").alias("n_ids"), F.countDistinct("requirement_id").alias("n_units"))
+    return t.groupBy("generation_phase", "test_type", "priority").agg(
+        F.count("*").alias("n"), F.countDistinct("test_id").alias("n_ids"), F.countDistinct("requirement_id").alias("n_units"), F.count_if(F.size("preconditions") > 0).alias("with_preconditions"),
+    )
+
+
+def a21_overlap(spark, d):
+    """Units tested in each phase, and the share of those of any phase that this one covers, in per cent."""
+    t = table(spark, d, "test_cases").where("requirement_id is not null and generation_phase is not null").select("generation_phase", "requirement_id").distinct()
+    per = t.groupBy("generation_phase").agg(F.count("*").alias("n_units"))
+    whole = t.agg(F.countDistinct("requirement_id").alias("whole"))
+    shared = t.groupBy("requirement_id").agg(F.count("*").alias("phases")).agg(F.count_if(F.col("phases") > 1).alias("shared"))
+    return per.join(whole).join(shared).select("generation_phase", "n_units", F.round(100.0 * F.col("n_units") / F.col("whole"), 1).alias("share"), F.round(100.0 * F.col("shared") / F.col("whole"), 1).alias("overlap"))
 
 
 TYPES = ["positive", "negative", "edge", "security", "performance", "usability"]
@@ -195,9 +206,10 @@ def n13_first_units(spark, d):
 
 
 def n12_priority_units(spark, d):
-    """The 20 units with most dependencies, then smallest name: top-k without a full sort."""
-    c = _crus(spark, d).select("cru_id", F.size(F.coalesce("dependencies", F.array().cast("array<string>"))).alias("n_deps"))
-    return c.orderBy(F.desc("n_deps"), "cru_id").limit(20)
+    """Critical units: those whose text is specific, then those with dependencies, then the first ones; the best 20, each once."""
+    specific = X.clause("actor", "action_text", "constraint_text").rlike(R.SPECIFIC)
+    c = _crus(spark, d).select("cru_id", X.first_match([(specific, 1), (F.size(F.coalesce("dependencies", F.array().cast("array<string>"))) > 0, 2)], 3).alias("priority"))
+    return c.orderBy("priority", "cru_id").limit(20)
 
 
 def a29_scenario_scores(spark, d):
@@ -291,7 +303,7 @@ ORACLE = {
       jt as (select je.key k, je.type t, je.atom a, je.fullkey f from sk, json_tree(js) je where js is not null and js <> ''),
       sp as (select distinct case when t = 'OBJECT' and f not like '%]' and k similar to '([0-9]+|[A-Z])(\\.[0-9]+)*' then k when k = 'section_path' then json_extract_string(a, '$') end p from jt), o as (select * from c where copies = 1)
       select distinct cru_id, 'ERR-DUPLICATE-CRU-ID' code from c where copies > 1
-      union all select cru_id, 'ERR-UNKNOWN-PARENT' from o where not exists (select 1 from requirements r where r.req_id = o.parent_requirement_id)
+      union all select cru_id, 'ERR-UNKNOWN-PARENT-REQ-ID' from o where not exists (select 1 from requirements r where r.req_id = o.parent_requirement_id)
       union all select cru_id, 'ERR-MISSING-ACTOR' from o where trim(coalesce(actor, '')) = ''
       union all select cru_id, 'ERR-UNEXPECTED-NULL-ACTION' from o where action_text is null
       union all select cru_id, 'ERR-INVALID-CONFIDENCE' from o where confidence is null or confidence not in ('high', 'medium', 'low')
@@ -303,7 +315,7 @@ ORACLE = {
     "a7_units_per_requirement": "select coalesce(nullif(parent_requirement_id, ''), 'UNKNOWN') parent, count(*) n, count(distinct cru_id) n_ids from crus group by 1",
     "n7_chunk": f"with {CHUNKED} select chunk_no, parent, slice, pos, cru_id from ch",
     "a8_chunk_types": f"with {CHUNKED} select chunk_no, case when min(cru_type) = max(cru_type) then min(cru_type) else 'mixed' end chunk_type, count(*) n from ch group by 1",
-    "a11_chunk_report": f"with {CHUNKED}, g as (select chunk_no, count(*) n from ch group by 1) select count(*) chunks, cast(sum(n) as bigint) units, min(n) smallest, max(n) largest, round(avg(n), 2) mean, bool_and(n <= 4) within_limit from g",
+    "a11_chunk_report": f"with {CHUNKED}, g as (select chunk_no, count(*) n from ch group by 1) select count(*) chunks, cast(sum(n) as bigint) units, min(n) smallest, max(n) largest, round(avg(n), 2) mean, bool_and(n <= 4) within_limit, (select count(distinct cru_id) from ch) unique_units, sum(n) > (select count(distinct cru_id) from ch) duplicates from g",
     "a9_tags": f"with {TAGS} select * from tg",
     "a12_tag_distribution": f"with {TAGS} select tag, count(*) n, count(*) filter (rank = 1) n_first from tg group by 1",
     "a12_declared_tags": "select tag, count(*) n, count(distinct chunk_id) n_chunks from (select chunk_id, unnest(capability_tags) tag from chunks) group by 1",
@@ -317,9 +329,9 @@ ORACLE = {
     "a15_coverage_summary": f"with {LINK} select count(*) total, count(*) filter (classification = 'FULL_COVERAGE') covered, cast(sum(n_crus) as bigint) crus, cast(sum(n_tests) as bigint) tests, round(100.0 * count(*) filter (classification = 'FULL_COVERAGE') / greatest(count(*), 1), 1) rate from cl",
     "j3_uncovered_units": "select distinct cru_id from crus where cru_id is not null and cru_id not in (select requirement_id from test_cases where requirement_id is not null)",
     "j4_missing_parents": "select parent_requirement_id req_id, arg_min(cru_id, (loaded_at, cru_id)) first_cru, count(*) n from crus where parent_requirement_id <> '' and parent_requirement_id not in (select req_id from requirements where req_id is not null) group by 1",
-    "j5_tested_requirements": J5,
+    "j5_covered_requirements": J5,
     "a16_dependencies": f"with {DEPS} select * from dp",
-    "x25_stem": f"select distinct w word, {_stem_sql('w')} stem from (select unnest({_words_sql('text')}) w from documents where lang = 'en')",
+    "x25_stem": f"select distinct w word, {_stem_sql('w')} stem from (select unnest({_words_sql('text')}) w from documents)",
     "x28_overlap": f"with {OVER} select * from ov",
     "f11_reject_reason": f"""with {TC} select case when trim(coalesce(test_title, '')) = '' then 'no_title' when test_steps is null or len(test_steps) < 1 then 'no_steps' when {_BAD(STEPS)} then 'forbidden_phrase' when {_BAD(EXP)} then 'generic_expected'
       when len(test_steps) < 3 then 'few_steps' when length(coalesce(expected_result, '')) < 30 then 'short_expected' else 'ok' end reason, test_type, count(*) n from tc group by 1, 2""",
@@ -327,10 +339,12 @@ ORACLE = {
     "x49_contribution": f"with {SCORED} select test_id, contribution from lv",
     "x50_confidence": f"with {SCORED} select test_id, confidence, level from lv",
     "a33_confidence_levels": f"with {SCORED} select level, count(*) n, round(avg(confidence), 6) mean from lv group by 1",
-    "a21_test_totals": "select generation_phase, test_type, count(*) n, count(distinct test_id) n_ids, count(distinct requirement_id) n_units from test_cases group by 1, 2",
+    "a21_test_totals": "select generation_phase, test_type, priority, count(*) n, count(distinct test_id) n_ids, count(distinct requirement_id) n_units, count(*) filter (len(preconditions) > 0) with_preconditions from test_cases group by 1, 2, 3",
+    "a21_overlap": """with t as (select distinct generation_phase, requirement_id from test_cases where requirement_id is not null and generation_phase is not null), s as (select requirement_id, count(*) c from t group by 1)
+      select generation_phase, count(*) n_units, round(100.0 * count(*) / (select count(*) from s), 1) as share, round(100.0 * (select count(*) from s where c > 1) / (select count(*) from s), 1) overlap from t group by 1""",
     "w8_count_by_type": "select t test_type, (select count(*) from test_cases where test_type = t) n from (select unnest(['positive', 'negative', 'edge', 'security', 'performance', 'usability']) t)",
     "n13_first_units": "select cru_id, m.c chunk_id, cast(m.p as int) pos from (select c.cru_id cru_id, min(struct_pack(c := chunk_id, p := pos)) m from (select chunk_id, unnest(crus) c, generate_subscripts(crus, 1) - 1 pos from chunks) where c.cru_id is not null group by 1)",
-    "n12_priority_units": f"with {CR} select cru_id, cast(coalesce(len(dependencies), 0) as int) n_deps from cr order by 2 desc, 1 limit 20",
+    "n12_priority_units": f"with {CR} select cru_id, case when regexp_matches({CLAUSE}, '{R.SPECIFIC}') then 1 when len(dependencies) > 0 then 2 else 3 end priority from cr order by 2, 1 limit 20",
     "a29_scenario_scores": f"""with {OVER}, s as (select cru_id scenario, count(*) n, round(greatest(0, least(1, sum(case verdict when 'MATCH' then 1.0::double when 'PARTIAL' then 0.5::double when 'CONFLICT' then -1.0::double else 0.0::double end) / count(*))), 6) score from ov group by 1)
       select *, case when score >= 0.75 then 'LOW_RISK' when score >= 0.5 then 'MEDIUM_RISK' else 'HIGH_RISK' end risk from s""",
     "j23_requirement_usage": f"with {USE} select * from ru",
