@@ -114,3 +114,9 @@ union all select 'chunk_docs', chunk_id, cast(pos as int), e from dc where e is
 union all select 'chunk_locators', chunk_id, cast(pos as int), coalesce(cast(e.page as varchar), '') || ':' || coalesce(cast(e.para as varchar), '') from lo where e is not null
 union all select distinct 'skeleton_sections', doc_id, len(string_split(p, '.')), p from sp where p is not null""",
 }
+_C = "with c as (select chunk_id, arg_max(struct_pack(u := crus), created_at).u crus from chunks group by 1), cr as (select chunk_id, unnest(crus) e, cast(generate_subscripts(crus, 1) - 1 as int) pos from c)"
+ORACLE |= {
+    "p1_chunk_crus": _C + " select chunk_id, pos, e.cru_id cru_id, e.actor actor, e.action_text action_text, e.constraint_text constraint_text, e.confidence confidence, e.title title from cr where e is not null",
+    "p1_criteria": _C + """, a as (select chunk_id, pos p, unnest(e.acceptance_criteria) x, cast(generate_subscripts(e.acceptance_criteria, 1) - 1 as int) pos from cr where e is not null)
+      select chunk_id rec_key, p::varchar parent_ords, pos, x.criterion criterion from a where x is not null""",
+}

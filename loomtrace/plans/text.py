@@ -305,7 +305,13 @@ METHOD = f"""case when {_T} = '' or length({_T}) > 120 then 'none' when {_NUM} a
   when {_NUM} and length({_T}) > 80 then 'too_long' when {_NUM} then 'numeric' when regexp_matches({_T}, '^[A-Z][A-Z\\s\\-:]{{4,60}}$') then 'allcaps' when suffix({_T}, ':') then 'label'
   when regexp_matches({_T}, '^[A-Z][a-zA-Z0-9\\s\\-:,/()]{{4,79}}[^.?!\\n]$') and length({_T}) <= 60 and regexp_matches({_T}, '\\S\\s+\\S') then 'titlecase' else 'none' end"""
 HEADS = f"""{LN}, hm as (select *, {METHOD} method from ln), hl as (select *, cast(case method when 'numeric' then least(len(string_split(regexp_extract({_T}, '^(\\d+(?:\\.\\d+)*)', 1), '.')), 6) when 'allcaps' then 1 when 'titlecase' then 2 end as int) as level from hm)"""
+_LAB = "(?i)^\\s*(ID|TITLE|DESC|RAT|DEP|Actor|Status)\\s*:\\s*(.*)$"
 ORACLE = {
+    "x1_clean_text": f"with {LN} select doc_id, cast(pos as int) pos, md5(trim(regexp_replace(regexp_replace(regexp_replace(line, '[\\x{{2010}}-\\x{{2014}}]', '-', 'g'), '[\\p{{Zs}}\\t\\x{{200b}}]', ' ', 'g'), ' {{3,}}', '  ', 'g'))) h from ln",
+    "n5_labelled_values": f"""with {LN}, x as (select *, regexp_extract(line, '{_LAB}', ['l', 't']) m from ln), g as (select doc_id, pos, m, line, cast(sum(case when m.l <> '' then 1 else 0 end) over w as bigint) grp,
+        last_value(case when m.l <> '' then upper(m.l) end ignore nulls) over w as label from x window w as (partition by doc_id order by pos rows unbounded preceding)),
+      b as (select doc_id, grp, label, coalesce(string_agg(t, ' ' order by pos) filter (t <> ''), '') v from (select *, case when m.l <> '' then trim(m.t) else trim(line) end t from g where label is not null) group by 1, 2, 3)
+      select doc_id, label, arg_max(v, grp) as value from b group by 1, 2""",
     "x2_squeeze": "select doc_id, md5(trim(regexp_replace(coalesce(title, ''), '[\\s\\x{00a0}\\x{200b}]+', ' ', 'g'))) h, cast(length(trim(regexp_replace(coalesce(title, ''), '[\\s\\x{00a0}\\x{200b}]+', ' ', 'g'))) as int) n from documents",
     "x5_norm_title": "select regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g') t, count(*) n from nodes group by 1",
     "x6_section_level": "select cast(len(string_split(section_path, '.')) as int) as level, case when contains(section_path, '.') then regexp_replace(section_path, '\\.[^.]+$', '') end parent, count(*) n from nodes group by 1, 2",

@@ -288,6 +288,20 @@ OVER = f"""{CR}, {TC}, pr as (select cr.cru_id, tc.test_id, coalesce(action_text
    case when len(ss) = 0 or len(es) = 0 then 'MISSING' when neg and (1 - 0.3::double) * o + 0.3::double * p >= 0.1 then 'CONFLICT' when (1 - 0.3::double) * o + 0.3::double * p >= 0.3 then 'MATCH' when (1 - 0.3::double) * o + 0.3::double * p >= 0.1 then 'PARTIAL' else 'MISSING' end verdict from rt)"""
 DEPS = "dp as (select distinct * from (select upper(trim(req_id)) req_id, upper(trim(unnest(dependencies))) dep from requirements where req_id is not null) where dep is not null and dep not in ('', 'NONE', 'N/A', 'NA') and dep <> req_id)"
 J5 = "select distinct req_id from requirements where req_id in (select parent_requirement_id from crus where cru_id in (select requirement_id from test_cases where lower(trim(priority)) = 'high'))"
+
+
+def inferred_sql(ok: str) -> str:
+    """The fixpoint as expressions of a recursive WITH: whatever cannot reach, over requirements that are not satisfied themselves, one
+    without dependencies or a cycle, is inferred; its round is the length of the longest chain from a satisfied one."""
+    return f"""{DEPS}, ok as ({ok}), nd as (select * from dp where req_id not in (select req_id from ok) and dep not in (select req_id from ok)),
+ rc as (select req_id x, dep y from nd union select rc.x, nd.dep from rc join nd on nd.req_id = rc.y),
+ bad as (select dep y from nd where dep not in (select req_id from dp) union select x from rc where x = y),
+ uns as (select req_id from dp where req_id in (select y from bad) union select x from rc where y in (select y from bad)),
+ sat as (select distinct req_id from dp where req_id not in (select req_id from ok) and req_id not in (select req_id from uns)),
+ rd as (select req_id, 0 round from ok union select dp.req_id, rd.round + 1 from rd join dp on dp.dep = rd.req_id where dp.req_id in (select req_id from sat)),
+ inf as (select req_id, max(round) round from rd group by 1)"""
+
+
 STATE = " or ".join(f"""regexp_matches(lower(trim(a)), '{p.replace("'", "''")}')""" for p in R.PRECONDITIONS)
 USE = f"""{OVER}, us as (select cr.parent_requirement_id req_id, count(*) usage, count(*) filter (verdict = 'MATCH') m, count(*) filter (verdict = 'PARTIAL') p from ov join cr using (cru_id) group by 1),
  ru as (select r.req_id, coalesce(usage, 0) usage, coalesce(m, 0) matches, coalesce(p, 0) partials, case when m > 0 then 'VALIDATED' when p > 0 then 'WEAKLY_VALIDATED' else 'UNUSED_REQUIREMENT' end status
@@ -351,10 +365,5 @@ ORACLE = {
     "a31_usage_totals": f"with {USE} select status, count(*) n, cast(sum(usage) as bigint) usage from ru group by 1",
     "a25_weighted_confidence": f"""with {CR}, r as (select parent_requirement_id, ({CONF})::double s, case when extraction_method = 'deterministic' then 1.0::double else 0.5::double end w from cr where parent_requirement_id <> ''),
       g as (select parent_requirement_id, round(greatest(0.01, least(0.99, sum(s * w) / sum(w))), 4) confidence from r group by 1) select *, case when confidence >= 0.75 then 'HIGH' when confidence >= 0.45 then 'MEDIUM' else 'LOW' end grade from g""",
-    "g14_inferred": f"""with recursive {DEPS}, ok as (select distinct upper(trim(req_id)) req_id from ({J5})),
-      sat as (select req_id, 0 round from ok
-        union all select n.req_id, n.round from (select d.req_id, max(s.round) over () + 1 round, count(*) over (partition by d.req_id) got, row_number() over (partition by d.req_id) k
-            from dp d join recurring.sat s on s.req_id = d.dep where d.req_id not in (select req_id from recurring.sat)) n where n.k = 1 and n.got = (select count(*) from dp x where x.req_id = n.req_id))
-      select * from sat""",
+    "g14_inferred": f"with recursive {inferred_sql(f'select distinct upper(trim(req_id)) req_id from ({J5})')} select * from inf",
 }
-del ORACLE["g14_inferred"]  # a fixpoint; tested against a sequential model
