@@ -43,17 +43,15 @@ def p4_found(spark, d):
 
 
 def p4_groups(spark, d):
-    """One row per test: its class of equal word sets, its group, and the class's number of links."""
+    """One row per test: its class of equal word sets, its group, and the class's number of links. Both are named by their smallest test_id."""
     classes, members, pairs = _similar(spark, d)
-    groups = neardup.components(classes.select(F.col("cid").alias("id")), pairs)
+    names = materialize(members.groupBy("cid").agg(F.min("id").alias("class_id")), "names")
+    name = lambda c: names.select(F.col("cid").alias(c), F.col("class_id").alias(f"class_{c}"))
+    edges = pairs.select("a", "b").join(name("a"), "a").join(name("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    groups = neardup.components(names.select(F.col("class_id").alias("id")).distinct(), edges)
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
-    # A group is named by its smallest test_id, which unlike class numbers does not depend on the run.
-    of = members.join(groups.select(F.col("id").alias("cid"), "label"), "cid").join(ends, "cid", "left")
-    name = of.groupBy("label").agg(F.min("id").alias("group_id"))
-    klass = of.groupBy("cid").agg(F.min("id").alias("class_id"))
-    return of.join(name, "label").join(klass, "cid").select(
-        F.col("id").alias("test_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    per_class = names.join(groups.select(F.col("id").alias("class_id"), F.col("label").alias("group_id")), "class_id").join(ends, "cid", "left")
+    return members.join(per_class, "cid").select(F.col("id").alias("test_id"), "class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _limits(spark, d, purpose):

@@ -40,3 +40,28 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[int, pa.Table], Iterator[p
             yield from fn(int(at), pa.Table.from_batches(held))
 
     return df.repartition(parallelism(df), key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def map_whole_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, rows: int = 1 << 16) -> DataFrame:
+    """Apply ``fn`` to runs of whole groups of the long column ``key``: about ``rows`` rows at a time, or one larger group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            if n >= rows:
+                # The last group that began before may go on in this batch: what lies before its end is complete.
+                last = held[-1].column(b.schema.get_field_index(key))[held[-1].num_rows - 1].as_py()
+                cut = int(np.searchsorted(k != last, True)) if k[0] == last else 0
+                if cut < len(k):
+                    yield from fn(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                    held, n, b = [], 0, b.slice(cut)
+            held.append(b)
+            n += b.num_rows
+        if held:
+            yield from fn(pa.Table.from_batches(held))
+
+    return df.repartition(parallelism(df), key).sortWithinPartitions(key).mapInArrow(run, schema)

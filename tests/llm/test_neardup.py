@@ -55,8 +55,9 @@ def test_dirty(spark):
     assert found(df.where("1 = 0")) == set()
 
 
-def test_hot_class(spark):
-    """A third of all rows equal: they are one class until the pairs of different ids are written."""
+def test_hot_class(spark, monkeypatch):
+    """A third of all rows equal: they are one class until the pairs of different ids are written, in parts."""
+    monkeypatch.setattr(N, "PER_PART", 7)
     rows = [(f"h{i:03d}", "same text", "in all of them") for i in range(60)] + corpus(120, 3)
     got = found(spark.createDataFrame(rows, SCHEMA))
     assert got == brute(rows, 0.6) and len([p for p in got if p[0][0] == "h"]) == 60 * 59 // 2
@@ -90,6 +91,56 @@ def test_trie_splits_nodes(monkeypatch):
     assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for a, b in want if side[a] != side[b]}
 
 
+def test_trie_cuts_node_pairs(monkeypatch):
+    """Where the budget is smaller than the paths, most pairs are cut before two sets are compared."""
+    monkeypatch.setattr(N, "LEAF", 64)
+    sig = np.random.RandomState(6).randint(0, 2**63, (2000, N.WORDS)).astype(np.uint64)
+    sig[1000:] = sig[:1000]
+    seen = {}
+    i, j = N.trie_self_join(sig, np.full(2000, 20), 0.95, None, seen)
+    assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == {(a, a + 1000) for a in range(1000)}
+    assert seen["cut"] > 0.9 * 2000 * 1999 / 2
+
+
+def test_first_bits_cut_most(spark):
+    """With bits in the order of how well they part, most pairs of longer sets are cut by the first 64."""
+    r = np.random.RandomState(7)
+    f = 0.5 / (1 + np.arange(600)) ** 0.6
+    sets = [np.flatnonzero(r.rand(600) < f * 3) for _ in range(800)]
+    hist = np.zeros(N.BUCKETS, dtype=np.int64)
+    for x in sets:
+        hist[x * 97] += 1
+    place = N.bit_places(hist, len(sets))
+    assert sorted(place.tolist()) == list(range(64 * N.WORDS))
+    sig = np.zeros((len(sets), N.WORDS), dtype=np.uint64)
+    for i, x in enumerate(sets):
+        for b in place[(x * 97) % (64 * N.WORDS)]:
+            sig[i, int(b) >> 6] ^= np.uint64(1) << np.uint64(63 - (int(b) & 63))
+    seen = {}
+    N.trie_self_join(sig, np.array([len(x) for x in sets]), 0.6, None, seen)
+    assert seen["first"] > 0.6 * seen["leaf"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.frozensets(st.integers(0, 30), min_size=1, max_size=12), st.sampled_from([-1, 0, 1])), min_size=1, max_size=9), min_size=1, max_size=8))
+def test_small_groups_together(groups):
+    """Many small groups at once against each by its trie."""
+    rows = [(g, s, side if any(x[1] == -1 for x in rows_) is False else -1) for g, rows_ in enumerate(groups) for s, side in rows_]
+    sig = np.zeros((len(rows), N.WORDS), dtype=np.uint64)
+    for i, (_, s, _) in enumerate(rows):
+        for x in s:
+            sig[i, x % N.WORDS] ^= np.uint64(1) << np.uint64(x * 7 % 64)
+    size, side, group = np.array([len(s) for _, s, _ in rows]), np.array([x for _, _, x in rows], dtype=np.int8), np.array([g for g, _, _ in rows])
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    i, j = N.small_joins(sig, size, 0.6, starts, side)
+    want = set()
+    for g in set(group.tolist()):
+        at = np.flatnonzero(group == g)
+        a, b = N.trie_self_join(sig[at], size[at], 0.6, None if (side[at] == -1).all() else side[at])
+        want |= {tuple(sorted((int(at[x]), int(at[y])))) for x, y in zip(a, b, strict=True)}
+    assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "id long")
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 29)] + [(40, 41), (41, 40), (45, 45)], "a long, b long")
