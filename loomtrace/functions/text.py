@@ -276,3 +276,17 @@ def may_split(c: Col) -> Column:
     """Whether a description lists several behaviours: a clause mark, or two sentences that begin with such a verb."""
     t = F.coalesce(col(c), F.lit(""))
     return (F.length(F.trim(t)) >= 10) & (t.rlike(R.FOR_CLAUSE) | (F.size(F.regexp_extract_all(t, F.lit(R.IMPERATIVES), F.lit(0))) >= 2))
+
+
+def acceptance_unit(c: Col) -> Column:
+    """Whether a text can be accepted or not: at least 6 characters and words, an expectation, no numbers or page headers only."""
+    t = F.trim(F.coalesce(col(c), F.lit("")))
+    return (F.length(t) >= 6) & (F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) >= 6) & t.rlike(R.EXPECTATIONS) & ~t.rlike(R.NO_UNIT)
+
+
+def toc_entry(c: Col) -> Column:
+    """(number, title, page) of a line of a table of contents; null for any other line."""
+    t = F.trim(col(c))
+    part = lambda i: F.regexp_extract(t, R.TOC_ENTRY, i)
+    number = F.when(part(1) != "", section_path(part(1))).otherwise(part(2))
+    return F.when(t.rlike(R.TOC_ENTRY), F.struct(number.alias("number"), part(3).alias("title"), part(4).try_cast("int").alias("page")))

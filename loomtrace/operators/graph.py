@@ -349,3 +349,19 @@ def neighbourhood(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges within two hops of the given nodes: the ends of the first hop are the starts of the second."""
     ends = edges_from(edges, ids).select(F.col("dst_id").alias("node_id")).union(edges_to(edges, ids).select(F.col("src_id").alias("node_id"))).union(ids).distinct()
     return edges_from(edges, ends).unionByName(edges_to(edges, ends)).distinct()
+
+
+def route(queries: DataFrame) -> DataFrame:
+    """Requests (task, req_id, query_text) with defaults of their sizes and what is wrong with them, null for nothing: errors are rows, not aborts."""
+    error = X.first_match([
+        (F.coalesce("task", F.lit("")) == "", "task is required"), (~F.col("task").isin(list(R.TASK_RELATIONS)), "unsupported task"),
+        ((F.coalesce("req_id", F.lit("")) == "") & (F.coalesce("query_text", F.lit("")) == ""), "req_id or query_text is required"),
+    ], F.lit(None).cast("string"))
+    defaults = {k: F.coalesce(k, F.lit(v)) if k in queries.columns else F.lit(v) for k, v in R.TASK_DEFAULTS.items()}
+    return queries.withColumns({**defaults, "error": error})
+
+
+def anchors(candidates: DataFrame, k: int = 5, preferred: str = "CRU") -> DataFrame:
+    """The k anchors of each query among candidates (query_id, id, node_type, score): the preferred type first, then by score."""
+    w = Window.partitionBy("query_id").orderBy((F.col("node_type") != preferred).cast("int"), F.desc("score"), "id")
+    return candidates.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "id", "node_type", "score", "place")

@@ -103,8 +103,10 @@ def step_categories(lines_: DataFrame, part: list[str]) -> DataFrame:
 def heading_stack(headings: DataFrame, part: list[str], depth: int = 6) -> DataFrame:
     """Headings (pos, level, title) with their full path: a heading at level L stays until one at L or above follows.
 
-    Per level, the last heading that no later shallower one has closed: one window per level.
+    Per level, the last heading that no later shallower one has closed: one window per level. Levels below ``depth`` count
+    as ``depth``: such headings follow each other.
     """
+    headings = headings.withColumn("level", F.least("level", F.lit(depth)))
     w = Window.partitionBy(*part).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = headings
     for lv in range(1, depth + 1):
@@ -142,3 +144,63 @@ def roles_by_section(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     s = ln.groupBy(id_col, "section_path").agg(F.count("*").alias("n"), F.count_if(t.rlike(R.MODALS) & t.rlike(R.BEHAVIOUR)).alias("n_strict"), F.count_if(t.rlike(R.MODALS)).alias("n_modal"))
     return s.withColumn("kind", X.first_match([(F.col("n_strict") > 0, "REQUIREMENT_SOURCE"), (F.col("n_modal") > 0, "SUPPORTING")], "NARRATIVE"))
+
+
+def paragraphs_of_lines(lines_: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, para, first, n, is_heading, text): a blank line ends a paragraph, a heading is one of its own."""
+    w = Window.partitionBy(id_col).orderBy("pos")
+    heading = X.heading("line")["level"].isNotNull()
+    h = lines_.withColumn("__h", heading)
+    opens = F.col("__h") | F.coalesce(F.lag("__h").over(w) | (F.trim(F.lag("line").over(w)) == ""), F.lit(True))
+    g = running_group(h.withColumn("__o", opens & (F.trim("line") != "")), F.col("__o"), [id_col], "pos", "para").where("trim(line) <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("t")))), lambda x: x["t"]), "\n")
+    return g.groupBy(id_col, "para").agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.bool_or("__h").alias("is_heading"), text.alias("text"))
+
+
+def pipe_rows(lines_: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, cells): the rows of tables whose cells are between bars; rules between head and body are none."""
+    t = F.trim("line")
+    cells = F.transform(F.split(F.regexp_replace(t, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    return lines_.where(t.rlike(r"^\|.*\|$") & ~t.rlike(r"^\|[\s\-:|]+\|$")).select(id_col, "pos", cells.alias("cells"))
+
+
+def pipe_tables(lines_: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, table_no, n_rows, n_cols, text): neighbouring lines between bars as one table in plain text."""
+    w = Window.partitionBy(id_col).orderBy("pos")
+    bars = lines_.where(F.trim("line").rlike(r"^\|.*\|$")).withColumn("__o", F.coalesce(F.col("pos") - F.lag("pos").over(w) > 1, F.lit(True)))
+    g = running_group(bars, F.col("__o"), [id_col], "pos", "table_no").select(id_col, "pos", "table_no")
+    rows = pipe_rows(lines_, id_col).join(g, [id_col, "pos"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.array_join("cells", " | ").alias("t")))), lambda x: x["t"]), "\n")
+    return rows.groupBy(id_col, "table_no").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("n_cols"), text.alias("text"))
+
+
+def toc_run(pages: DataFrame, id_col: str = "doc_id", opens: int = 3) -> DataFrame:
+    """(id, first_page, last_page) of pages (id, page, n): the first with at least ``opens`` lines of contents and all after it up to one without."""
+    w = Window.partitionBy(id_col)
+    p = pages.withColumn("first_page", F.min(F.when(F.col("n") >= opens, F.col("page"))).over(w)).where("page >= first_page")
+    p = p.withColumn("__end", F.min(F.when(F.col("n") < 1, F.col("page"))).over(w)).where("__end is null or page < __end")
+    return p.groupBy(id_col, "first_page").agg(F.max("page").alias("last_page"))
+
+
+def story_units(lines_: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, kind, unit) of lines that are not blank: the units of acceptance stories.
+
+    A user story, a scenario and a bullet open a unit. A story holds the lines up to its first end of a sentence, a scenario its steps and
+    a bullet its own line; any other line is a unit of prose.
+    """
+    t = F.trim("line")
+    kind = X.first_match([
+        (t.rlike(r"(?i)^As an?\b"), "story"), (t.rlike(r"(?i)^(Acceptance )?Scenario( Outline)?:"), "scenario"), (t.rlike(r"(?i)^(Given|When|Then|And|But)\b"), "step"), (t.rlike(r"^([-*•]|\d+[.)])\s"), "bullet"),
+    ], "prose")
+    part = [id_col]
+    ln = lines_.where("trim(line) <> ''").withColumn("__k", kind)
+    g = running_group(ln, F.col("__k").isin("story", "scenario", "bullet"), part, "pos", "__g")
+    opener = F.first("__k").over(Window.partitionBy(id_col, "__g").orderBy("pos"))
+    before = Window.partitionBy(id_col, "__g").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.trim("line").rlike(r"[.!?]$").cast("int")).over(before), F.lit(0)) == 1
+    g = g.withColumns({"__opener": opener, "__ended": ended}).withColumn("__story", F.col("__opener") == "story")
+    inside = X.first_match([(F.col("__k").isin("story", "scenario", "bullet"), True), (F.col("__story"), ~F.col("__ended")), (F.col("__opener") == "scenario", F.col("__k") == "step")], False)
+    g = g.withColumn("__in", inside)
+    kind = F.when(F.col("__in"), F.col("__opener")).otherwise(F.when(F.col("__k") == "step", "step").otherwise("prose"))
+    unit = F.when(F.col("__in"), F.concat(F.lit("g"), F.col("__g").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("pos").cast("string")))
+    return g.select(id_col, "pos", kind.alias("kind"), unit.alias("unit"))

@@ -1,8 +1,8 @@
 """The query catalogue: every query with its SQL statement where SQL can say it."""
 
-from loomtrace.plans import acceptance, graph, more, problems, text, units
+from loomtrace.plans import acceptance, graph, ingest, more, problems, text, units
 
-_MODULES = [problems, graph, units, text, acceptance, more]
+_MODULES = [problems, graph, units, text, acceptance, more, ingest]
 
 
 def all_queries() -> dict:

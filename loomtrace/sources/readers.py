@@ -118,3 +118,9 @@ def first_json_array(c):
     """The outermost [...] of a model's answer, fences and chatter around it dropped; null if there is none."""
     text = F.regexp_extract(F.regexp_replace(c, r"```(?:json)?", ""), r"(?s)(\[.*\])", 1)
     return F.when(text != "", text)
+
+
+def load_status(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``exit_code``: 0 for a JSON object, 2 for a text that is missing, malformed or anything else."""
+    ok = F.coalesce(F.expr(f"schema_of_variant(try_parse_json(`{text}`))").startswith("OBJECT<"), F.lit(False))
+    return docs.withColumn("exit_code", F.when(ok, 0).otherwise(2))
