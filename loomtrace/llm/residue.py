@@ -60,17 +60,38 @@ _NUMBER = re.compile(r"(?=[^\W_]*\d)[^\W_]+")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n]+")
 
 
+_OPENS = frozenset("{[<%$#@«&_(")  # every unfilled part holds one of these
+_MARKS_ONLY = re.compile(r"[.…\-_?*#=~\s]+")
+_BLANK_LINE = re.compile(r"_{3,}")
+_STEMS = ("enabl", "activat", "allow", "unblock", "switch", "turn")  # of every way to say enable
+_NOT_AVAILABLE = re.compile(r"\bn/a\b")
+_DIGIT = re.compile(r"\d")
+
+
 def words_of(passage: str) -> list[str]:
-    """The words of a passage: lower case, template parts, numbers and script phrases as one word each."""
+    """The words of a passage: lower case, template parts, numbers and script phrases as one word each.
+
+    Each substitution is tried only where a character or a part of a word that it needs is there.
+    """
     s = passage.strip()
-    if re.fullmatch(r"[.…\-_?*#=~\s]+", s) and not re.fullmatch(r"_{3,}", s):
+    if s and not s[0].isalnum() and _MARKS_ONLY.fullmatch(s) and not _BLANK_LINE.fullmatch(s):
         return [DOTS]
-    s = _PART.sub(f" {PART} ", s)
-    s = _BRACKET.sub(lambda m: f" {BRACKET} " if s.count("[") == 1 and len(s) == len(m[0]) else m[0], s)
-    s = _TAG.sub(" ", s)
-    s = _ENABLE.sub("enable", _SCRIPT.sub("js", s))
-    s = re.sub(r"\bn/a\b", "notavailable", s.lower())
-    return [_NUMBER.sub("0", w) for w in _WORD.findall(s)]
+    if not _OPENS.isdisjoint(s):
+        s = _PART.sub(f" {PART} ", s)
+        if "[" in s:
+            s = _BRACKET.sub(lambda m: f" {BRACKET} " if s.count("[") == 1 and len(s) == len(m[0]) else m[0], s)
+        if "<" in s:
+            s = _TAG.sub(" ", s)
+    low = s.lower()
+    if "script" in low or "js" in low:
+        s = _SCRIPT.sub("js", s)
+        low = s.lower()
+    if any(map(low.__contains__, _STEMS)):
+        low = _ENABLE.sub("enable", s).lower()
+    if "/" in low:
+        low = _NOT_AVAILABLE.sub("notavailable", low)
+    words = _WORD.findall(low)
+    return [_NUMBER.sub("0", w) for w in words] if _DIGIT.search(low) else words
 
 
 class Index:
@@ -180,9 +201,10 @@ class Index:
 
 
 def bucket(word: str) -> int:
+    """The bucket that xxhash64 of the engine gives: unsigned here, signed there, which is the same modulo a power of two."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(word) % BUCKETS
+    return xxhash.xxh64_intdigest(word, seed=42) % BUCKETS
 
 
 def passages_of(text: str) -> list[str]:
@@ -251,40 +273,23 @@ def residue_texts(texts: DataFrame, exemplars: DataFrame | None = None) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [windows_of(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, type=pa.list_(pa.list_(pa.string())))], ["text", "n", "passages"])
-
-    each = materialize(each.mapInArrow(cut, "text string, n long, passages array<array<string>>"), "passages")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS + 1, dtype=np.int64)
-        at: dict[str, int] = {}
-        for b in batches:
-            for n, passages in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[BUCKETS] += n * len(passages)
-                for p in passages:
-                    for w in set(p):
-                        k = at.get(w)
-                        if k is None:
-                            if len(at) > 1 << 20:
-                                at.clear()
-                            k = at[w] = bucket(w)
-                        sums[k] += n
-        held = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], ["b", "n"])
-
-    counts, total = np.zeros(BUCKETS, dtype=np.int64), 0
-    for r in each.select("n", "passages").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # bounded: one row per bucket
-        if r["b"] == BUCKETS:
-            total = r["n"]
-        else:
-            counts[r["b"]] = r["n"]
+            words = ["\n".join(map(" ".join, windows_of(t))) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, type=pa.string())], ["text", "n", "passages"])
+
+    # Passages are lines of words: neither holds a blank or a line end.
+    each = materialize(each.mapInArrow(cut, "text string, n long, passages string"), "passages").where("passages <> ''")
+    lines = each.select("n", F.explode(F.split("passages", "\n")).alias("p"))
+    words = lines.select("n", F.explode(F.array_distinct(F.split("p", " "))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.sum("n").alias("n"))
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for r in words.collect():  # bounded: one row per bucket
+        counts[r["b"]] = r["n"]
+    total = lines.agg(F.sum("n")).first()[0] or 0
     shared = spark.sparkContext.broadcast((counts, total, labelled(exemplars)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         for b in batches:
-            cases = [index.case(p) for p in b.column(1).to_pylist()]
+            cases = [index.case([p.split(" ") for p in t.split("\n")]) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(cases, type=pa.bool_()))], ["text"])
 
     return each.select("text", "passages").mapInArrow(judge, "text string")
