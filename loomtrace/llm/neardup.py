@@ -7,7 +7,7 @@ trie self-join over the bitmaps, which walks pairs of nodes together, adds up di
 beyond the budget, loses no pair. Survivors are compared by their words. Bits are in the order of how well they
 part the sets. At a similarity of 0.6 and some 50 words a set the budget is about 27 bits, more than the path to a node
 can hold however many sets there are, so node pairs are rarely cut; a pair of sets is cut by the bits behind its path,
-mostly by the first 64 (``seen`` counts both).
+mostly by the bitmap folded in half, which is compared first (``seen`` counts both).
 
 The trie is split over the cluster by shards: a class goes to the shard of each word of its prefix in a
 global order from rare to frequent (two sets that similar must share a prefix word). A shard of more
@@ -52,7 +52,7 @@ def trie_self_join(sig: np.ndarray, size: np.ndarray, t: float, side: np.ndarray
     """Index pairs (i, j) of bitmaps whose Hamming distance is within the budget of their sizes.
 
     With ``side`` only pairs of different sides are joined. ``seen`` counts the pairs that node pairs cut, those of leaves, and
-    of these those that the first 64 bits cut.
+    of these those that the folded bits cut.
     """
     seen = {} if seen is None else seen
     share = (1 - t) / (1 + t)
@@ -60,7 +60,8 @@ def trie_self_join(sig: np.ndarray, size: np.ndarray, t: float, side: np.ndarray
     s, n = sig[order], size[order].astype(np.int64)
     d = None if side is None else side[order]
     part = (share * n + 5e-5).astype(np.float32)  # a set's part of a pair's budget
-    first = np.ascontiguousarray(s[:, 0])
+    # The bitmap folded in half: its distance is no greater than the bitmap's, and its bits part the sets more evenly.
+    half = [np.ascontiguousarray(s[:, w] ^ s[:, w + WORDS // 2]) for w in range(WORDS // 2)]
     out_i: list[np.ndarray] = []
     out_j: list[np.ndarray] = []
     # A node is a range of the sorted bitmaps that agree on the first ``depth`` bits.
@@ -87,20 +88,21 @@ def trie_self_join(sig: np.ndarray, size: np.ndarray, t: float, side: np.ndarray
         for lo in range(a0, a1, step):
             hi = min(a1, lo + step)
             c0 = lo if same else b0  # each pair of a node with itself once
-            # The first 64 bits for all pairs, which part most; the others only for those still within budget.
-            acc = np.bitwise_count(first[lo:hi, None] ^ first[None, c0:b1])
-            ok = acc <= part[lo:hi, None] + part[None, c0:b1]
-            if same:
-                ok &= np.arange(lo, hi)[:, None] < np.arange(c0, b1)[None, :]
-            if d is not None:
-                ok &= d[lo:hi, None] != d[None, c0:b1]
-            i, j = np.nonzero(ok)
-            seen["leaf"] = seen.get("leaf", 0) + ok.size
-            seen["first"] = seen.get("first", 0) + ok.size - len(i)
-            acc = acc[i, j].astype(np.int16)
+            # Half as many bits for all pairs against the block's greatest budget; all of them only for what is left.
+            limit = int(part[lo:hi].max() + part[c0:b1].max())
+            acc = np.bitwise_count(half[0][lo:hi, None] ^ half[0][None, c0:b1])
+            for h in half[1:]:
+                acc += np.bitwise_count(h[lo:hi, None] ^ h[None, c0:b1])
+            i, j = np.nonzero(acc <= limit)
+            seen["leaf"] = seen.get("leaf", 0) + acc.size
+            seen["half"] = seen.get("half", 0) + acc.size - len(i)
             i, j = i + lo, j + c0
-            budget = part[i] + part[j]
-            for w in range(1, WORDS):
+            keep = i < j if same else np.ones(len(i), dtype=bool)
+            if d is not None:
+                keep &= d[i] != d[j]
+            i, j = i[keep], j[keep]
+            acc, budget = np.zeros(len(i), dtype=np.int16), part[i] + part[j]
+            for w in range(WORDS):
                 acc = acc + np.bitwise_count(s[i, w] ^ s[j, w])
                 keep = acc <= budget
                 i, j, acc, budget = i[keep], j[keep], acc[keep], budget[keep]
