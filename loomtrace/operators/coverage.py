@@ -90,24 +90,29 @@ def stem_table(words: DataFrame, col: str) -> DataFrame:
     return words.select(F.col(col).alias("word")).distinct().withColumn("stem", X.stem("word"))
 
 
-def overlap(pairs: DataFrame, key: list[str], spec: str, evidence: str) -> DataFrame:
-    """(key..., spec_words, overlap_ratio, prefix_ratio, blended, verdict) of a specification against evidence text.
+def stems(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, stems, negated): the distinct stems of each text, found through one join with the table of distinct words."""
+    flat = texts.select(key, F.explode(X.words(text)).alias("word"))
+    st = flat.join(stem_table(flat, "word"), "word").groupBy(key).agg(F.array_sort(F.collect_set("stem")).alias("stems"))
+    return texts.select(key, X.negated(text).alias("negated")).join(st, key, "left").withColumn("stems", F.coalesce("stems", F.array().cast("array<string>")))
 
-    Words become stems through one join with the table of distinct words; stems and their prefixes are
-    then compared as sets.
+
+def overlap(pairs: DataFrame, specs: DataFrame, evidence: DataFrame, spec_key: str, evidence_key: str) -> DataFrame:
+    """(keys, spec_words, overlap_ratio, prefix_ratio, blended, verdict) of specifications against evidence, for pairs of their keys.
+
+    ``specs`` (key, text) and ``evidence`` (key, text) have one row per key: each text is cut and stemmed once, however many pairs it
+    is in, and the pairs only compare two arrays.
     """
-    both = pairs.select(*key, X.words(spec).alias("s"), X.words(evidence).alias("e"), X.negated(evidence).alias("neg"))
-    flat = both.select(*key, F.explode("s").alias("word"), F.lit(True).alias("spec")).unionByName(both.select(*key, F.explode("e").alias("word"), F.lit(False).alias("spec")))
-    st = flat.join(stem_table(flat, "word"), "word").groupBy(*key).agg(
-        F.collect_set(F.when(F.col("spec"), F.col("stem"))).alias("ss"), F.collect_set(F.when(~F.col("spec"), F.col("stem"))).alias("es")
-    )
+    s = specs.select(spec_key, F.col("text").alias("__t"))
+    e = evidence.select(evidence_key, F.col("text").alias("__t"))
+    s, e = stems(s, spec_key, "__t"), stems(e, evidence_key, "__t")
+    j = pairs.select(spec_key, evidence_key).join(s.select(spec_key, F.col("stems").alias("ss")), spec_key).join(e.select(evidence_key, F.col("stems").alias("es"), F.col("negated").alias("neg")), evidence_key)
     pre = lambda a: F.array_distinct(F.transform(a, lambda x: F.substring(x, 1, R.PREFIX)))
     n = F.greatest(F.size("ss"), F.lit(1))
-    j = both.select(*key, "neg").join(st, key, "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("ss", "es")})
     j = j.withColumn("o", F.size(F.array_intersect("ss", "es")) / n).withColumn("p", F.size(F.array_intersect(pre(F.col("ss")), pre(F.col("es")))) / F.greatest(F.size(pre(F.col("ss"))), F.lit(1)))
     j = j.withColumn("b", (1 - R.PREFIX_WEIGHT) * F.col("o") + R.PREFIX_WEIGHT * F.col("p"))
     empty = (F.size("ss") == 0) | (F.size("es") == 0)
     return j.select(
-        *key, F.size("ss").alias("spec_words"), F.round("o", 6).alias("overlap_ratio"), F.round("p", 6).alias("prefix_ratio"), F.round("b", 6).alias("blended"),
+        spec_key, evidence_key, F.size("ss").alias("spec_words"), F.round("o", 6).alias("overlap_ratio"), F.round("p", 6).alias("prefix_ratio"), F.round("b", 6).alias("blended"),
         X.verdict(F.col("b"), F.col("neg"), empty).alias("verdict"),
     )

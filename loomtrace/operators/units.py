@@ -116,19 +116,20 @@ def capability_tags(units: DataFrame, key: str, text: Column, kind: str, k: int
     hits = F.array_compact(F.array(*[
         F.when(t.rlike("|".join(R.CAPABILITIES[tag])), F.struct(F.lit(tag).alias("tag"), F.lit(i).alias("at"))) for i, tag in enumerate(labels)
     ]))
-    base = units.select(F.col(key).alias("key"), F.col("pos"), hits.alias("h"), F.col(kind).alias("kind"))
-    found = base.select("key", "pos", F.explode("h").alias("h")).groupBy("key", "h.tag").agg(
-        F.count("*").alias("score"), F.min(F.col("pos") * 100 + F.col("h.at")).alias("first")
-    )
-    extra = F.create_map(*[F.lit(x) for i, (a, b) in enumerate(BONUS.items()) for x in (a, b)])
+    extra = F.create_map(*[F.lit(x) for a, b in BONUS.items() for x in (a, b)])
     order = F.create_map(*[F.lit(x) for i, b in enumerate(BONUS.values()) for x in (b, i)])
-    bonus = base.select("key", extra[F.col("kind")].alias("tag")).where("tag is not null").distinct().select(
-        "key", "tag", F.lit(2).cast("long").alias("score"), (F.lit(1_000_000_000) + order[F.col("tag")]).alias("first"))
-    scored = found.unionByName(bonus).groupBy("key", "tag").agg(F.sum("score").alias("score"), F.min("first").alias("first"))
-    w = Window.partitionBy("key").orderBy(F.desc("score"), "first")
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("key", "tag", "score", "rank")
-    bare = base.select("key").distinct().join(scored.select("key").distinct(), "key", "left_anti")
-    return top.unionByName(bare.select("key", F.lit("Generic").alias("tag"), F.lit(0).cast("long").alias("score"), F.lit(1).alias("rank")))
+    given = extra[F.col(kind)]
+    # Every unit counts for its tags, for that of its type, and for its key, which may have no tag at all: one aggregate of all three.
+    own = F.transform(hits, lambda h: F.struct(h["tag"].alias("tag"), F.lit(1).alias("n"), (F.col("pos") * 100 + h["at"]).cast("long").alias("first"), F.lit(False).alias("bonus")))
+    typed = F.when(given.isNotNull(), F.array(F.struct(given.alias("tag"), F.lit(0).alias("n"), (F.lit(1_000_000_000) + order[given]).cast("long").alias("first"), F.lit(True).alias("bonus"))))
+    key_only = F.array(F.struct(F.lit(None).cast("string").alias("tag"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("first"), F.lit(False).alias("bonus")))
+    each = units.select(F.col(key).alias("key"), F.explode(F.concat(own, F.coalesce(typed, F.slice(own, 1, 0)), key_only)).alias("x"))
+    g = each.groupBy("key", "x.tag").agg(F.sum("x.n").alias("n"), F.min("x.first").alias("first"), F.bool_or("x.bonus").alias("bonus"))
+    g = g.withColumn("score", (F.col("n") + F.when(F.col("bonus"), 2).otherwise(0)).cast("long"))
+    w = Window.partitionBy("key").orderBy(F.col("tag").isNull().cast("int"), F.desc("score"), "first")
+    # The row without a tag comes last, so it is in front only where the key has none.
+    top = g.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("tag").isNotNull() | (F.col("rank") == 1)))
+    return top.select("key", F.coalesce("tag", F.lit("Generic")).alias("tag"), "score", "rank")
 
 
 def traceability_sets(chunks: DataFrame) -> DataFrame:

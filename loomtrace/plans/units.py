@@ -130,9 +130,9 @@ def g14_inferred(spark, d):
 
 def x28_overlap(spark, d):
     """Each unit's action against the steps and expected results of its tests."""
-    ev = _tests(spark, d).select(F.col("requirement_id").alias("cru_id"), "test_id", F.concat_ws(" ", F.array_join("test_steps", " "), "expected_result").alias("evidence"))
-    pairs = _crus(spark, d).select("cru_id", F.coalesce("action_text", "description").alias("spec")).join(ev, "cru_id")
-    return C.overlap(pairs, ["cru_id", "test_id"], "spec", "evidence")
+    t = _tests(spark, d).select(F.col("requirement_id").alias("cru_id"), "test_id", F.concat_ws(" ", F.array_join("test_steps", " "), "expected_result").alias("text"))
+    spec = _crus(spark, d).select("cru_id", F.coalesce("action_text", "description").alias("text"))
+    return C.overlap(t, spec, t, "cru_id", "test_id")
 
 
 def x25_stem(spark, d):

@@ -75,3 +75,21 @@ def test_files(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/log").count() == 6
     status = readers.load_status(spark.createDataFrame([("{}",), ("[1]",), ("{",), (None,), ("",)], "t string"), "t")
     assert [r["exit_code"] for r in status.collect()] == [0, 2, 2, 2, 2]
+
+
+def test_blocked_top_k(spark):
+    """Blocks of either side change nothing; zero and null vectors are nobody's neighbours, ties go to the smaller id."""
+    import numpy as np
+
+    from loomtrace.operators import similarity as V
+
+    r = np.random.RandomState(3)
+    x = r.standard_normal((90, 8)).round(1)
+    x[10], x[20], x[21] = 0, x[5], x[5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, embedding array<double>").withColumn("side", F.lit("clash"))
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    c = np.round(u @ u.T, 6)
+    want = {(q, i, k + 1) for q in range(0, 90, 10) if q != 10 for k, i in enumerate(sorted((j for j in range(90) if j != 10), key=lambda j: (-c[q, j], j))[:4])}
+    for qb, bb in ((2048, 1 << 15), (2, 7)):
+        assert {(t["query_id"], t["id"], t["rank"]) for t in V.top_k(df, df.where("id % 10 = 0"), 4, qb, bb).collect()} == want
+    assert V.top_k(df, df.where("1 = 0"), 4).count() == 0 and V.top_k(df.where("1 = 0"), df, 4).count() == 0

@@ -88,7 +88,10 @@ def test_stem_and_verdicts(spark):
     words = {"logged": "logg", "registered": "register", "registration": "registrat", "storage": "storage", "provide": "provide", "automatically": "automat", "queries": "query", "ness": "ness", "it": "it", "buses": "bus"}
     assert {r["word"]: r["stem"] for r in C.stem_table(spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()} == words
     rows = [("a", "store the invoice totals", "the invoice totals were stored"), ("b", "store the invoice", "the invoice failed to store"), ("c", "", "x y"), ("d", "encrypt backup", None), ("e", "alpha beta gamma delta kappa sigma omega lambda theta zeta", "alpha beta only here")]
-    got = {r["k"]: (r["verdict"], r["blended"]) for r in C.overlap(spark.createDataFrame(rows, "k string, s string, e string"), ["k"], "s", "e").collect()}
+    df = spark.createDataFrame(rows, "k string, s string, e string")
+    pairs = df.select("k", F.col("k").alias("k2"))
+    found = C.overlap(pairs, df.select("k", F.col("s").alias("text")), pairs.join(df, "k").select("k2", F.col("e").alias("text")), "k", "k2")
+    got = {r["k"]: (r["verdict"], r["blended"]) for r in found.collect()}
     assert {k: v[0] for k, v in got.items()} == {"a": "MATCH", "b": "CONFLICT", "c": "MISSING", "d": "MISSING", "e": "PARTIAL"} and got["e"][1] == 0.2
 
 
