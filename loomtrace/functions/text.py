@@ -232,13 +232,12 @@ def heading(c: Col) -> Column:
     """(level, method) of a line that may be a heading: numeric, all capitals or title case; level null if it is none."""
     t = F.trim(col(c))
     none = F.lit(None).cast("int")
-    listed = t.rlike(r"^(?:\d+\.)+\s+(?:The|If|When|After|Once|This|All|Each|Based)\b|[:.,]\s*$")
-    numeric = t.rlike(r"^\d+(?:\.\d+)*")
-    depth = F.least(F.size(F.split(F.regexp_extract(t, r"^(\d+(?:\.\d+)*)", 1), r"\.")), F.lit(6))
+    numeric = t.rlike(R.HEADING_NUMBER)
+    depth = F.least(F.size(F.split(F.regexp_extract(t, R.HEADING_NUMBER, 1), r"\.")), F.lit(R.HEADING_DEPTH))
     kind = first_match([
-        ((t == "") | (F.length(t) > 120), "none"), (numeric & listed, "list_item"), (numeric & (F.length(t) > 80), "too_long"), (numeric, "numeric"),
-        (t.rlike(r"^[A-Z][A-Z\s\-:]{4,60}$"), "allcaps"), (t.endswith(":"), "label"),
-        (t.rlike(r"^[A-Z][a-zA-Z0-9\s\-:,/()]{4,79}[^.?!\n]$") & (F.length(t) <= 60) & t.rlike(r"\S\s+\S"), "titlecase"),
+        ((t == "") | (F.length(t) > R.HEADING_LONGEST["any"]), "none"), (numeric & t.rlike(R.HEADING_LISTED), "list_item"), (numeric & (F.length(t) > R.HEADING_LONGEST["numeric"]), "too_long"), (numeric, "numeric"),
+        (t.rlike(R.HEADING_CAPITALS), "allcaps"), (t.endswith(":"), "label"),
+        (t.rlike(R.HEADING_TITLE) & (F.length(t) <= R.HEADING_LONGEST["titlecase"]) & t.rlike(r"\S\s+\S"), "titlecase"),
     ], "none")
     level = F.when(kind == "numeric", depth).when(kind == "allcaps", 1).when(kind == "titlecase", 2).otherwise(none)
     return F.struct(level.alias("level"), kind.alias("method"))

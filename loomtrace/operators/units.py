@@ -9,9 +9,7 @@ from loomtrace.functions import rules as R
 from loomtrace.functions import text as X
 
 VALID_CONFIDENCE = ["high", "medium", "low"]
-VALID_TYPES = [
-    "functional", "performance", "constraint", "reliability", "security", "portability", "testability", "usability", "availability", "maintainability", "quality",
-]
+VALID_TYPES, BONUS = R.VALID_TYPES, R.BONUS
 
 
 def explode_actions(requirements: DataFrame) -> DataFrame:
@@ -102,7 +100,6 @@ def chunk_report(chunked: DataFrame, size: int = 4) -> DataFrame:
     ).join(ids).withColumn("duplicates", F.col("units") > F.col("unique_units"))  # one row each
 
 
-BONUS = {"performance": "Performance", "security": "Security", "reliability": "Reliability", "portability": "Portability", "usability": "User Interface"}
 
 
 def capability_tags(units: DataFrame, key: str, text: Column, kind: str, k: int = 3) -> DataFrame:

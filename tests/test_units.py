@@ -57,8 +57,8 @@ def test_validate(spark):
     df = spark.createDataFrame(rows, "cru_id string, parent_requirement_id string, actor string, action_text string, confidence string, p string, cru_type string").withColumn("traceability", F.struct(F.col("p").alias("section_path")))
     got = {tuple(r) for r in U.validate(df, spark.createDataFrame([("r",), ("r",)], "req_id string"), spark.createDataFrame([("3.1",)], "section_path string")).collect()}
     e = lambda c, *k: {(c, f"ERR-{x}") for x in k}
-    assert got == e("dup", "DUPLICATE-CRU-ID") | e("bad", "UNKNOWN-PARENT", "MISSING-ACTOR", "UNEXPECTED-NULL-ACTION", "INVALID-CONFIDENCE", "MALFORMED-SECTION-PATH", "INVALID-CRU-TYPE") | e(
-        "gone", "SECTION-PATH-NOT-IN-SKELETON") | e("bare", "UNKNOWN-PARENT", "MISSING-ACTOR", "INVALID-CONFIDENCE", "MISSING-TRACEABILITY", "INVALID-CRU-TYPE")
+    assert got == e("dup", "DUPLICATE-CRU-ID") | e("bad", "UNKNOWN-PARENT-REQ-ID", "MISSING-ACTOR", "UNEXPECTED-NULL-ACTION", "INVALID-CONFIDENCE", "MALFORMED-SECTION-PATH", "INVALID-CRU-TYPE") | e(
+        "gone", "SECTION-PATH-NOT-IN-SKELETON") | e("bare", "UNKNOWN-PARENT-REQ-ID", "MISSING-ACTOR", "INVALID-CONFIDENCE", "MISSING-TRACEABILITY", "INVALID-CRU-TYPE")
 
 
 def test_fixpoint_equals_a_loop(spark):
