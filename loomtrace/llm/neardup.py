@@ -144,6 +144,7 @@ def word_classes(df: DataFrame, id_col: str, texts: list[str]) -> tuple[DataFram
         .where("size(words) > 0")
         .withColumn("key", F.unhex(F.sha2(F.array_join("words", " "), 256)))
     )
+    rows = materialize(rows, "texts")  # texts are cut into words once; members read no words
     classes = materialize(
         rows.groupBy("key").agg(F.first("words").alias("words")).withColumn("cid", F.monotonically_increasing_id()), "classes"
     )
