@@ -127,15 +127,23 @@ def shapes(records: DataFrame, keep: list[Column | str], payload: str = "payload
     return records.select(*keep, shape.alias("shape")).where("shape like 'OBJECT<%'").groupBy(*keep, "shape").agg(F.count("*").alias("n"))
 
 
+_leaves: dict[str, list[str]] = {}  # of the shapes a worker has seen
+
+
 def fields_of(shape: str) -> Column:
     """The leaves of a shape as an array of (field, raw_type). Meant for one row per file and shape."""
 
-    @F.pandas_udf("array<struct<field:string,raw_type:string>>")
+    @F.pandas_udf("array<string>")
     def leaves(s: pd.Series) -> pd.Series:
-        known = {x: [{"field": f, "raw_type": t} for f, t in shape_fields(x)] for x in s.unique()}
-        return s.map(known)
-
-    return leaves(shape)
+        if len(_leaves) > 1 << 16:
+            _leaves.clear()
+        for x in s.unique():
+            if x not in _leaves:
+                _leaves[x] = [f"{t}:{f}" for f, t in shape_fields(x)]
+        return s.map(_leaves)
+
+    # A type holds no colon, so what follows the first one is the field.
+    return F.transform(leaves(shape), lambda x: F.struct(F.substr(x, F.instr(x, ":") + 1).alias("field"), F.substring_index(x, ":", 1).alias("raw_type")))
 
 
 def canonical(catalogue: dict[str, list[str]], synonyms: dict[str, str] = SYNONYMS):
