@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -420,6 +422,47 @@ def w5_rebuilt(spark, d):
     return spark.read.parquet(path).groupBy("embedding_model").agg(F.count("*").alias("n"))
 
 
+def _near_in_graph(spark, d):
+    """Stand-in for arrivals: the next three ids of each query vector, with a confidence that falls with the distance."""
+    e = table(spark, d, "embeddings").select("vec_id")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("anchor"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("step"))
+    g = q.select("anchor", (F.col("anchor") + F.col("step")).alias("node_id"), F.round(F.pow(F.lit(R.HOP_PENALTY), "step"), 6).alias("score"))
+    return g.join(e.select(F.col("vec_id").alias("node_id")), "node_id", "left_semi").select("anchor", "node_id", "score")
+
+
+def f10_vector_hits(spark, d):
+    """Vector hits that are child chunks and not in the graph's own results."""
+    child = table(spark, d, "embeddings").where("label % 2 = 1").select(F.col("vec_id").alias("node_id"))
+    v = PT.o2_top_k(spark, d).select(F.col("query_id").alias("anchor"), F.col("id").alias("node_id"), F.col("cosine").alias("score"))
+    return v.join(child, "node_id", "left_semi").join(_near_in_graph(spark, d).select("anchor", "node_id"), ["anchor", "node_id"], "left_anti").select("anchor", "node_id", "score")
+
+
+def g9_fused(spark, d):
+    """Graph first, vectors fill in: the eight best of both."""
+    v = PT.o2_top_k(spark, d).select(F.col("query_id").alias("anchor"), F.col("id").alias("node_id"), F.col("cosine").alias("score"))
+    return G.fuse(_near_in_graph(spark, d), v, 8).select("anchor", "node_id", F.round("score", 4).alias("score"), "provenance", "needs_confirmation", "rank")
+
+
+TEMPLATES = {"test_generation": "Unit {unit}: {text}\nEvidence:\n{evidence}", "verdict": "Does {evidence} show {text}?"}
+
+
+def s15_templates(spark, d):
+    """Prompt templates written as a JSON file and read back, with the places they leave open."""
+    path = f"{shared_dir(spark)}/loomtrace/templates"
+    spark.createDataFrame(list(TEMPLATES.items()), "name string, template string").coalesce(1).write.mode("overwrite").json(path)
+    t = spark.read.schema("name string, template string").json(path)
+    return t.select("name", F.explode(F.array_distinct(F.regexp_extract_all("template", F.lit(r"\{(\w+)\}"), F.lit(1)))).alias("place"))
+
+
+def w12_log(spark, d):
+    """Counts appended to a log twice."""
+    path = f"{shared_dir(spark)}/loomtrace/log-{uuid.uuid4().hex}"
+    n = table(spark, d, "test_cases").groupBy("test_type").agg(F.count("*").alias("n"))
+    for _ in range(2):
+        sinks.append_log(n, path)
+    return spark.read.schema("test_type string, n long, logged_at timestamp").json(path).groupBy("test_type", "n").agg(F.count("logged_at").alias("times"))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and not k.startswith("_") and k[0].islower() and any(c.isdigit() for c in k[:4]) and k != "reduce"}
 
 _F1 = f"{PT.SECS}, b as (select *, null::varchar title, {PT.ROLE} rl from sc), k as (select *, {PT.TYPE} kind from b)"
@@ -452,6 +495,8 @@ _STORY = f"""{PT.LN}, sk0 as (select doc_id, pos, trim(line) t, case when regexp
  sy as (select *, case when k in ('story', 'scenario', 'bullet') then true when op = 'story' then e = 0 when op = 'scenario' then k = 'step' else false end i from sx),
  su as (select doc_id, pos, case when i then op when k = 'step' then 'step' else 'prose' end kind, case when i then 'g' || g else 'p' || pos end unit from sy)"""
 
+_GRAPH = "gr as (select a.vec_id anchor, b.vec_id node_id, round(pow(0.9::double, b.vec_id - a.vec_id), 6) score from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id - a.vec_id between 1 and 3)"
+
 ORACLE = {
     "f2_processable": f"with {_F1} select doc_id, kind, count(*) n from k where not {_SKIP} and kind in ({_IN(R.REQUIREMENT_SECTIONS)}) group by 1, 2",
     "f3_named_groups": "select srs_doc_id, req_id, count(*) n from documents where req_id is not null group by 1, 2",
@@ -535,4 +580,9 @@ ORACLE = {
     "w9_csv": "select test_id, coalesce(title, '') title, coalesce(description, '') description, coalesce(priority, '') priority from new_test_cases where test_id is not null",
     "w7_sheets": "select coalesce(generation_phase, 'none') sheet, count(*) n, count(distinct test_id) n_ids from test_cases group by 1",
     "w5_rebuilt": "select embedding_model, count(*) n from node_embeddings group by 1",
+    "f10_vector_hits": f"with {PT.TOP5}, {_GRAPH} select query_id anchor, t5.id node_id, cosine score from t5 join embeddings e on e.vec_id = t5.id and e.label % 2 = 1 where not exists (select 1 from gr where gr.anchor = query_id and gr.node_id = t5.id)",
+    "g9_fused": f"""with {PT.TOP5}, {_GRAPH}, b as (select anchor, node_id, score + 0.3::double score, 'graph' provenance, false needs from gr union all select query_id, id, cosine, 'vector', cosine < 0.65 from t5 where not exists (select 1 from gr where gr.anchor = query_id and gr.node_id = t5.id))
+      select anchor, node_id, round(score, 4) score, provenance, needs needs_confirmation, cast(rank as int) rank from (select *, row_number() over (partition by anchor order by score desc, node_id) rank from b) where rank <= 8""",
+    "s15_templates": "select * from (values " + ", ".join(f"('{k}', '{x}')" for k, v in TEMPLATES.items() for x in dict.fromkeys(re.findall(r"\{(\w+)\}", v))) + ") t(name, place)",
+    "w12_log": "select test_type, count(*) n, 2::bigint times from test_cases group by 1",
 }
