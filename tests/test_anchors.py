@@ -57,7 +57,13 @@ def test_traversal_from_all_units(spark, graph):
     got = {(r["anchor"], r["node_id"], r["depth"]): r["score"] for r in P.g4_two_hop(spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert run(spark, d, "o1_evidence", "anchor", "node_id", "rank") == {(u, c, i + 1) for u in UNITS for i, (c, _) in enumerate(top(kind, want, u))}
-    assert run(spark, d, "g5_trace_paths", "anchor", "max_depth") == {(u, max(k[2] for k in want if k[0] == u)) for u in UNITS[:-1]}
+    steps = {(r["anchor"], r["node_id"], r["depth"], r["step"]): r for r in P.g5_trace_paths(spark, d).collect()}
+    assert set(steps) == {(*k, n) for k in want for n in range(k[2])}  # as many steps as hops, the last of which arrives
+    edges = {(x[0], x[1], x[2]) for x in rows}
+    for (u, node, depth, n), r in steps.items():
+        at = u if n == 0 else steps[u, node, depth, 0]["to_id"]
+        assert r["to_id"] == node or n < depth - 1
+        assert ((at, r["rel_type"], r["to_id"]) if r["direction"] == "forward" else (r["to_id"], r["rel_type"], at)) in edges
     kinds = {u: [("CHUNK" if kind[n] in ("child", "CHUNK") else kind[n]) for n in {k[1] for k in want if k[0] == u}] for u in UNITS}
     assert run(spark, d, "g6_related_nodes", "anchor", "node_type", "n") == {(u, t, kinds[u].count(t)) for u in UNITS for t in kinds[u]}
 
