@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def parallelism(df: DataFrame) -> int:
@@ -42,6 +43,39 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[int, pa.Table], Iterator[p
     return df.repartition(parallelism(df), key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+def map_kept_groups(df: DataFrame, key: str, kept: str, fn: Callable[[pa.Table, bool], Iterator[pa.RecordBatch]], schema: str, rows: int) -> DataFrame:
+    """Apply ``fn(rows, again)`` to each group of the long column ``key``, a long group piece by piece.
+
+    The rows where the boolean column ``kept`` holds come first in a group and are in each of its pieces; ``again`` says that an earlier piece
+    had them. A piece of a long group has at most an Arrow batch more than ``rows`` rows besides the kept ones, which callers bound.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at, again, n = None, False, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and at != k[lo]:
+                    if n or not again:
+                        yield from fn(pa.Table.from_batches(held), again)
+                    held, again, n = [], False, 0
+                at = k[lo]
+                held.append(b.slice(lo, hi - lo))
+                n += held[-1].column(held[-1].schema.get_field_index(kept)).false_count
+                if n >= rows:
+                    t = pa.Table.from_batches(held)
+                    yield from fn(t, again)
+                    held, again, n = t.filter(t.column(kept)).combine_chunks().to_batches() or [b.slice(0, 0)], True, 0
+        if held and (n or not again):
+            yield from fn(pa.Table.from_batches(held), again)
+
+    return df.repartition(parallelism(df), key).sortWithinPartitions(key, F.desc(kept)).mapInArrow(run, schema)
+
+
 def map_whole_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, rows: int = 1 << 16) -> DataFrame:
     """Apply ``fn`` to runs of whole groups of the long column ``key``: about ``rows`` rows at a time, or one larger group."""
 

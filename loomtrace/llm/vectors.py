@@ -10,7 +10,8 @@ In each hash table a vector is stored in its own bucket and visits the perturbed
 neighbours, in the order of the estimated success (squared distance to the slots' borders). The hash grows with the
 logarithm of the number of vectors, and the number of tables with the hash, so that recall holds. What the tables give is merged. Whatever meets
 in a bucket is compared exactly, for both sides. A bucket of more than ``BLOCK`` vectors is split into
-blocks and its visitors are sent to each block, so no task grows with a crowded neighbourhood.
+blocks and its visitors are sent to each block, so no task grows with a crowded neighbourhood. Tables are compared
+one after the other and their shuffle files removed, so that the disk holds the copies of one table only.
 
 Defined results: a row counts if it has exactly ``dim`` finite floats, not all zero, and no row of the same
 node is later; of equally late ones the greatest vector counts. Nodes without such a row, and rows without a
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrace.llm.sorted_groups import map_groups
-from loomtrace.session import materialize
+from loomtrace.llm.sorted_groups import map_kept_groups
+from loomtrace.session import materialize, materialize_briefly
 
 DIM = 384
 K = 5
@@ -40,8 +41,9 @@ TEMPERATURE = 0.05
 MAX_ANCHORS = 1024
 PER_ANCHOR = 16
 TARGET = 1024  # mean vectors per bucket
-BLOCK = 4096  # vectors stored together, at least
+BLOCK = 1 << 14  # vectors stored together, at least: fewer blocks are fewer copies of a crowded bucket's visitors
 LARGE = 1 << 16  # buckets that may be larger
+VISITORS = 1 << 14  # vectors that a block is compared with at a time
 SLACK = 2e-6  # cosines that may be equal after rounding
 
 
@@ -160,7 +162,16 @@ class StableHash:
 def near(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of all entries that are within the rounding of a row's k-th greatest: ties are broken by name later."""
     kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -1.5, dtype=s.dtype)
-    return np.nonzero(s >= np.maximum(kth - SLACK, -1.5)[:, None])
+    return np.divmod(np.flatnonzero(s >= np.maximum(kth - SLACK, -1.5)[:, None]), s.shape[1])
+
+
+def kth_at_least(s: np.ndarray, k: int) -> np.ndarray:
+    """For each column a bound that its k-th greatest entry is not below: the k-th greatest of the maxima of groups of rows."""
+    groups = min(len(s), 8 * k)
+    if groups < k:
+        return np.full(s.shape[1], -1.5, dtype=s.dtype)
+    top = s[: len(s) // groups * groups].reshape(-1, groups, s.shape[1]).max(axis=0)
+    return np.partition(top, groups - k, axis=0)[groups - k]
 
 
 def fit(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim: int) -> tuple[StableHash, int]:
@@ -177,62 +188,60 @@ def fit(df: DataFrame, id_col: str, bytes_col: str, at_col: str, dim: int) -> tu
     return StableHash(fit_anchors(sample, n_anchors) if len(sample) else np.zeros((1, dim), dtype=np.float32), k), n
 
 
-def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n: int, dim: int, k: int = K, probes: int | None = None) -> DataFrame:
-    """(a, b, cos): for every class (cid, q), the distinct ones of the ``n`` ``rows``, its k nearest among those met and all that tie with the last of them, both directions."""
-    sc = classes.sparkSession.sparkContext
-    shared = sc.broadcast(hashing)
-    # A large bucket has more than this; so there are at most LARGE of them.
-    block = max(BLOCK, -(-n // LARGE))
-
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                codes = shared.value.probes(unit(unpack(b.column(1), dim)), 1)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(codes)), codes.shape[1]))), pa.array(codes.ravel())], ["cid", "code"])
-
-    # Distinct classes per bucket are estimated on the rows as read, by sketches: no vector moves for it.
-    counted = rows.select("cid", "q").mapInArrow(home, "cid long, code long").groupBy("code").agg(F.approx_count_distinct("cid").alias("n"))
-    large = {r["code"]: -(-r["n"] // block) for r in counted.where(F.col("n") > block).collect()}
-    split = sc.broadcast((np.array(sorted(large), dtype=np.int64), np.array([large[c] for c in sorted(large)], dtype=np.int32)))
+def hashed_classes(classes: DataFrame, hashing: StableHash, dim: int, probes: int) -> DataFrame:
+    """(cid, q, codes): every class with its buckets, ``probes`` of each table, one table after the other. Narrow."""
+    shared = classes.sparkSession.sparkContext.broadcast(hashing)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, blocks = split.value
         for b in batches:
             if b.num_rows:
-                codes = shared.value.probes(unit(unpack(b.column(1), dim)), probes)
-                home = np.zeros(codes.shape, dtype=bool)
-                home[:, :, 0] = True
-                codes = codes.reshape(len(codes), -1)
-                n_blocks = np.ones(codes.shape, dtype=np.int32)
-                if len(code):
-                    at = np.searchsorted(code, codes).clip(0, len(code) - 1)
-                    n_blocks = np.where(code[at] == codes, blocks[at], 1).astype(np.int32)
+                codes = shared.value.probes(unit(unpack(b.column(1), dim)), probes).reshape(b.num_rows, -1)
                 offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (codes, n_blocks, home)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["cid", "q", "codes", "blocks", "home"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], ["cid", "q", "codes"])
+
+    return classes.select("cid", "q").mapInArrow(buckets, "cid long, q binary, codes array<long>")
 
-    hashed = classes.select("cid", "q").mapInArrow(buckets, "cid long, q binary, codes array<long>, blocks array<int>, home array<boolean>")
-    at = hashed.select("cid", "q", F.explode(F.arrays_zip("codes", "blocks", "home")).alias("z")).select(
-        "cid", "q", F.col("z.home").alias("home"), F.col("z.codes").alias("code"), F.col("z.blocks").alias("blocks")
-    )
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    # In its own bucket a vector is stored in one block and visits the others; elsewhere it visits all.
-    at = at.select(
-        "cid", "q", "code", "home", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    )
-    at = at.select(
-        F.xxhash64("code", "block").alias("task"), "cid", "q", (F.col("home") & (F.col("block") == F.col("own"))).alias("stored")
-    )
 
-    def compare(_: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
+def crowded(hashed: DataFrame, block: int, probes: int) -> dict[int, list[tuple[int, int, int]]]:
+    """By hash table, its buckets in which more than ``block`` classes are stored: (code, blocks, copies of vectors beyond one for each that meets there)."""
+    at = hashed.select(F.posexplode("codes").alias("i", "code"))
+    counted = at.groupBy(F.floor(F.col("i") / probes).cast("int").alias("t"), "code").agg(
+        F.count("*").alias("met"), F.count(F.when(F.col("i") % probes == 0, 1)).alias("stored")
+    )
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for r in counted.where(F.col("stored") > block).collect():
+        blocks = -(-r["stored"] // block)
+        out.setdefault(r["t"], []).append((r["code"], blocks, r["met"] * (blocks - 1)))
+    return out
+
+
+def met_in(hashed: DataFrame, table: int, large: list[tuple[int, int, int]], probes: int, part: int, parts: int, dim: int, k: int) -> DataFrame:
+    """(a, b, cos): what meets in the ``part``-th of ``parts`` of the buckets of a hash table, as far as it can be among the k nearest, both directions."""
+    at = hashed.select("cid", "q", F.posexplode(F.slice("codes", table * probes + 1, probes)).alias("i", "code"))
+    at = at.select("cid", "q", "code", (F.col("i") == 0).alias("home"))
+    if large:
+        blocks = hashed.sparkSession.createDataFrame([(c, n) for c, n, _ in large], "code long, blocks int")
+        at = at.join(F.broadcast(blocks), "code", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+        # In its own bucket a vector is stored in one block and visits the others; elsewhere it visits all.
+        at = at.select("cid", "q", "code", "home", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    else:
+        at = at.withColumn("own", F.lit(0)).withColumn("block", F.lit(0))
+    at = at.select(F.xxhash64("code", "block").alias("task"), "cid", "q", (F.col("home") & (F.col("block") == F.col("own"))).alias("stored"))
+    at = at.where(F.pmod("task", F.lit(parts)) == part)
+
+    def compare(t: pa.Table, again: bool) -> Iterator[pa.RecordBatch]:
         stored = t.column("stored").to_numpy()
         if not stored.any():
             return
         cid, x = t.column("cid").to_numpy(), unit(unpack(t.column("q"), dim))
         base, base_id = x[stored], cid[stored]
+        if again:  # stored vectors have been compared with each other
+            cid, x, stored = cid[~stored], x[~stored], stored[~stored]
         out = []
         back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = max(1, (1 << 22) // len(base))
+        floor = np.full(len(base), -1.5, dtype=np.float32)
         for lo in range(0, len(x), step):
             s = x[lo : lo + step] @ base.T
             ids = cid[lo : lo + step]
@@ -241,9 +250,10 @@ def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n:
             out.append((ids[i], base_id[j], s[i, j]))
             visit = ~stored[lo : lo + step]
             if visit.any():  # what a visitor finds, the stored vector finds too
-                sv, iv = s[visit].T, ids[visit]
-                i, j = near(sv, k)
-                back.append((i, iv[j], sv[i, j]))
+                sv, iv = (s, ids) if visit.all() else (s[visit], ids[visit])
+                floor = np.maximum(floor, kth_at_least(sv, k))
+                i, j = np.divmod(np.flatnonzero(sv >= np.maximum(floor - SLACK, -1.5)), len(base))
+                back.append((j, iv[i], sv[i, j]))
         if back:
             i, who, v = (np.concatenate(z) for z in zip(*back, strict=True))
             order = np.lexsort((-v, i))
@@ -258,7 +268,32 @@ def nearest_classes(classes: DataFrame, rows: DataFrame, hashing: StableHash, n:
         ok = v > -1.5
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(v[ok].astype(np.float32))], ["a", "b", "cos"])
 
-    return map_groups(at, "task", compare, "a long, b long, cos float")
+    return map_kept_groups(at, "task", "stored", compare, "a long, b long, cos float", VISITORS)
+
+
+def nearest_classes(hashed: DataFrame, hashing: StableHash, n: int, dim: int, probes: int, k: int = K) -> DataFrame:
+    """(a, b, cos): for every class of ``hashed``, the distinct ones of ``n`` rows, its k nearest among those met and all that tie with the last of them, both directions.
+
+    The hash tables are compared one after the other, those with crowded buckets in parts. Each part merges what it finds with what was found
+    before and leaves only that, so the disk holds about one table's copies of the vectors, however many tables and blocks there are.
+    """
+    # A large bucket has more than this; so there are at most LARGE of them in a table.
+    block = max(BLOCK, -(-n // LARGE))
+    large = crowded(hashed, block, probes)
+    best, forget = None, None
+    for t in range(hashing.tables):
+        more = large.get(t, [])
+        parts = 1 + -(-sum(copies for _, _, copies in more) // max(probes * n, 1))
+        for part in range(parts):
+            met = met_in(hashed, t, more, probes, part, parts, dim, k)
+            # One exchange, by a, serves the distinct pairs and the ranking; ties at the last place are kept for the names.
+            met = (met if best is None else met.unionByName(best)).repartition("a").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+            place = F.rank().over(Window.partitionBy("a").orderBy(F.desc(F.round(F.col("cos").cast("double"), 6))))
+            last = forget
+            best, forget = materialize_briefly(met.withColumn("r", place).where(F.col("r") <= k).drop("r"), "nearest")
+            if last is not None:
+                last()
+    return best.select("a", "b", F.round(F.col("cos").cast("double"), 6).alias("cos"))
 
 
 def nearest(df: DataFrame, id_col: str, bytes_col: str, at_col: str, k: int = K, dim: int = DIM, probes: int | None = None) -> DataFrame:
@@ -266,16 +301,17 @@ def nearest(df: DataFrame, id_col: str, bytes_col: str, at_col: str, k: int = K,
     hashing, n = fit(df, id_col, bytes_col, at_col, dim)
     rows = encoded(df, id_col, bytes_col, at_col, dim)
     members = materialize(latest_classes(rows), "members")
-    # Equal vectors are one class; the vectors are shuffled once, to their class, and kept if it is anybody's latest.
+    # Equal vectors are one class; the vectors are shuffled to their class once, kept if it is anybody's latest, and written with their buckets.
     vectors = rows.where("q is not null").select(F.xxhash64("q").alias("cid"), "q")
     classes = vectors.groupBy("cid").agg(F.first("q").alias("q"))
     classes = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+    probes = min(probes or PROBES, len(hashing.shift))
+    hashed, forget = materialize_briefly(hashed_classes(classes, hashing, dim, probes), "hashed")
+    best = nearest_classes(hashed, hashing, n, dim, probes, k)
+    forget()
     # Of a class only the k + 1 smallest names can be anybody's neighbours.
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("node_id"))).where(F.col("r") <= k + 1)
     names = first.groupBy("cid").agg(F.array_sort(F.collect_list("node_id")).alias("names"))
-    # One exchange, by a, serves the distinct pairs and the ranking; ties at the last place are kept for the names.
-    met = nearest_classes(classes, vectors, hashing, n, dim, k, probes).repartition("a").groupBy("a", "b").agg(F.round(F.max("cos").cast("double"), 6).alias("cos"))
-    best = met.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cos")))).where(F.col("r") <= k)
     others = best.join(names.withColumnRenamed("cid", "b"), "b").select(F.col("a").alias("cid"), F.explode("names").alias("neighbour"), "cos")
     own = names.select("cid", F.explode("names").alias("neighbour"), F.lit(1.0).alias("cos"))
     # Per class, then per member: one list of at most k + 1 candidates, which a member takes without itself.

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,18 +54,46 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. ``options`` go to the writer."""
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _write(df: DataFrame, tag: str, **options: str) -> tuple[DataFrame, str]:
+    """(table, its folder) of ``df``, written to the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtrace/{tag}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors. ``options`` go to the writer."""
+    return _write(df, tag, **options)[0]
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize_briefly(df: DataFrame, tag: str, **options: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(table, removal) as of ``materialize``, for a step of many: the shuffle files of its plan go as soon as it is written, the table when ``removal`` is called."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # The plan of a DataFrame keeps the setting it was made with, so it is made again here.
+        out, path = _write(df.select("*"), tag, **options)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return out, lambda: _remove(spark, path)
 
 
 def clean_shared(spark: SparkSession) -> None:
     """Remove the tables ``materialize`` has written; call it when no DataFrame that reads them is used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomtrace")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/loomtrace")
 
 
 def key_bucket(col, n: int):

@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -95,3 +96,63 @@ def test_recall_of_long_hashes():
         for t in range(p.shape[1]):
             met |= (p[a, t] == p[b, t, :1]).any(axis=1) | (p[b, t] == p[a, t, :1]).any(axis=1)
         assert met.mean() >= 0.9
+
+
+def clustered(n, seed):
+    """Rows in clusters, one of them with a third of all."""
+    r = np.random.RandomState(seed)
+    centres = r.standard_normal((40, 384))
+    at = np.where(np.arange(n) % 3 == 0, 0, r.randint(1, 40, n))
+    x = (centres[at] + 0.7 * r.standard_normal((n, 384))).astype("<f4")
+    return [(f"v{i:05d}", y.tobytes(), T(2025, 1, 1)) for i, y in enumerate(x)]
+
+
+def test_disk_holds_one_hash_table(spark, monkeypatch):
+    """Shuffle files stay below the budget of four times the input with three hash tables and crowded buckets."""
+    monkeypatch.setattr(V, "TARGET", 2)  # a hash as long as for some million vectors
+    monkeypatch.setattr(V, "BLOCK", 64)
+    rows = clustered(3000, 4)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def sizes():
+        it, out = files.getAllFiles().iterator(), {}
+        while it.hasNext():
+            f = it.next()
+            if f.getName().startswith("shuffle"):
+                out[f.getName()] = f.length()
+        return out
+
+    before, peak, over = set(sizes()), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            peak[0] = max(peak[0], sum(v for k, v in sizes().items() if k not in before))
+
+    t = threading.Thread(target=watch)
+    t.start()
+    try:
+        got = V.nearest(spark.createDataFrame(rows, SCHEMA), "node_id", "embedding_bytes", "created_at").count()
+    finally:
+        over.set()
+        t.join()
+    assert 0 < peak[0] < 4 * 1536 * len(rows)
+    assert got > 4.5 * len(rows)  # such small buckets hold fewer than five others now and then
+
+
+def test_blocks_and_pieces_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(clustered(1500, 6), SCHEMA)
+    whole = lists(V.nearest(df, "node_id", "embedding_bytes", "created_at"))
+    monkeypatch.setattr(V, "BLOCK", 100)
+    monkeypatch.setattr(V, "VISITORS", 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        assert lists(V.nearest(df, "node_id", "embedding_bytes", "created_at")) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_bound_of_columns():
+    s = np.random.RandomState(5).standard_normal((203, 7)).astype(np.float32)
+    for n in (3, 5, 12, 203):
+        kth = np.sort(s[:n], axis=0)[max(n - 5, 0)] if n >= 5 else np.full(7, -1.5)
+        assert (V.kth_at_least(s[:n], 5) <= kth).all()
